@@ -61,8 +61,17 @@ def fold(doc_id, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _by_key(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    ids = stored(ids.distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids.hint("merge"), key, how)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is in ids. ids is counted: up to BROADCAST_ROWS it is broadcast and df stays
     where it is, beyond that both are shuffled."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
+    return _by_key(df, ids, key, "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not in ids, or null; joined as in semi()."""
+    return _by_key(df, ids, key, "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, semi, stored, tuned
+from .common import ascii_lower, semi, stored, tuned, without
 
 #: Rows of a chunk, the unit that sends fingerprints and gets a bitmap, and fingerprints of an owner, on average.
 CHUNK_ROWS, OWNER_ROWS = 65_536, 32_768
@@ -146,7 +146,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = fingerprints(docs)
     found = stored(suspects(rows), "suspects")
     docs = docs.select("doc_id", "text")
-    texts = semi(docs, found.select("doc_id").distinct(), "doc_id").unionByName(docs.filter("doc_id is null"))
+    texts = semi(docs, found.select("doc_id"), "doc_id").unionByName(docs.filter("doc_id is null"))
     # the texts themselves are the key, so that equality is that of bytes
     same = texts.groupBy(ascii_lower(F.coalesce("text", F.lit(""))).alias("folded")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     same = same.filter("group_size > 1").select(F.unhex(F.sha2("folded", 256)).alias("digest"), "keep_id", "group_size")
@@ -167,6 +167,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     again = gone.filter("kept and n > 1 or doc_id is null").limit(1).count()
     if again:
         docs = docs.withColumn("_folded", ascii_lower(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_folded"]).drop("_folded")
-    drop = gone.filter("not kept").select("doc_id").distinct()
-    few = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(drop) if few else drop, "doc_id", "left_anti")
+    return without(docs, gone.filter("not kept").select("doc_id"), "doc_id")

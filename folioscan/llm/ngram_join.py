@@ -3,10 +3,12 @@
 A document is the set of its distinct n-word shingles (64-bit hashes). Two documents link when 100 * intersection
 >= percent * union. Equal sets are one class, so copies cost no comparison. Steps:
 
-1. One pass describes every document (set size, class) and counts shingles in a sketch of fixed size. The sketch
-   only orders shingles: common ones last.
-2. Two sets above the threshold share a shingle among the first n - ceil(n * percent / 100) + 1 of either in that
-   order. These are shuffled with their class, sorted, and neighbours of admissible sizes are chained; the chains'
+1. One pass describes every document (set size, class) and counts shingles in a sketch of fixed size.
+2. Shingles are ordered: those of one class only, then by how common the sketch finds them, then by hash. Two sets
+   above the threshold share one of the first n - ceil(n * percent / 100) + 1 of either. Which shingles have one
+   class only is found by sending sorted, coded 40-bit shingles to owners of hash ranges; common ones, by the sketch,
+   don't pass through owners, so no owner gets a hot one. Shared shingles come back as (shingle, class), those behind
+   the prefix are dropped, and classes that meet at a shingle with admissible sizes are chained; the chains'
    components are groups that no link leaves.
 3. Each group is a task with its sets: a signature tree, whose nodes hold OR-combined bitmaps, size ranges and
    collision counts, is traversed against itself. A pair of nodes is dropped when the largest overlap that its
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import dropped, semi, stored, tuned
+from .common import dropped, semi, stored, tuned, without
 from .components import components, local_components
 
 #: Counters of the sketch (a power of two) and the rows that carry it.
@@ -81,11 +83,61 @@ def commonness(slices: DataFrame) -> np.ndarray:
     return np.log2(np.maximum((count - usual) / (6 * math.sqrt(usual) + 40), 0.5)).astype(np.int64).clip(-1, 62) + 1
 
 
-def _prefixes(n: int, percent: int, weight: np.ndarray):
-    weight = weight.astype(np.uint8)
+#: Bits of a shingle in the exchange, and those of them that are sent as they are.
+WIDTH, LOW = 40, 16
+#: Shingles of a chunk (the unit that sends) and, on average, of an owner.
+CHUNK_SHINGLES, OWNER_SHINGLES, CHUNK_DOCS = 1_500_000, 2_000_000, 65_536
+
+
+def code_tokens(rest: np.ndarray, width: int) -> bytes:
+    """Ascending values below 2**width: their high bits in unary, as a bitmap."""
+    bits = np.zeros((1 << max(width - LOW, 0)) + len(rest), bool)
+    bits[(rest >> np.uint64(LOW)).astype(np.int64) + np.arange(len(rest))] = True
+    return np.packbits(bits).tobytes()
+
+
+def decode_tokens(high: bytes, low: bytes) -> np.ndarray:
+    low = np.frombuffer(low, "<u2").astype(np.uint64)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))
+    return ((ones - np.arange(len(low))).astype(np.uint64) << np.uint64(LOW)) | low
+
+
+_SENT = ["owner", "cls", "n", "doc", "low", "high"]
+_SENT_SCHEMA = "owner int, cls binary, n binary, doc binary, low binary, high binary"
+
+
+def _send(n: int, weight: np.ndarray, owner_bits: int):
+    """Chunks of classes to owners. Common shingles go, uncoded, to a spare owner (negative) of the chunk."""
+
+    def rows(h: np.ndarray, doc: np.ndarray, cls: np.ndarray, size: np.ndarray, spare: int) -> pa.RecordBatch:
+        common = weight[h >> np.uint64(64 - 18)] > 0
+        token = h >> np.uint64(64 - WIDTH)
+        out = []
+        if common.any():
+            out.append((-1 - spare, doc[common].astype("<u2").tobytes(), token[common].astype("<u8").tobytes(), b""))
+        token, doc = token[~common], doc[~common]
+        order = np.argsort(token)
+        token, doc = token[order], doc[order].astype("<u2")
+        owner = (token >> np.uint64(WIDTH - owner_bits)).astype(np.int64)
+        rest = token & np.uint64((1 << (WIDTH - owner_bits)) - 1)
+        low = (rest & np.uint64((1 << LOW) - 1)).astype("<u2")
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        for a, b in zip(cuts, np.append(cuts[1:], len(owner))):
+            out.append((int(owner[a]), doc[a:b].tobytes(), low[a:b].tobytes(), code_tokens(rest[a:b], WIDTH - owner_bits)))
+        ids, sizes = cls.astype("<i8").tobytes(), size.astype("<i4").tobytes()
+        columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([ids] * len(out), pa.binary()), pa.array([sizes] * len(out), pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], _SENT)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        parts, docs, shingles, spare = [], 0, 0, TaskContext.get().partitionId() * 64
+
+        def chunk() -> pa.RecordBatch:
+            h, doc, cls, size = (np.concatenate(x) for x in zip(*parts))
+            return rows(h, doc, cls, size, spare)
+
         for batch in batches:
             for _, h, at, size, cls in _sets(batch, n):
                 new = np.zeros(len(size), bool)
@@ -93,16 +145,56 @@ def _prefixes(n: int, percent: int, weight: np.ndarray):
                     if size[i] and c not in seen:
                         seen.add(c)
                         new[i] = True
-                doc = np.repeat(np.arange(len(size)), size)
-                h, doc = h[new[doc]], doc[new[doc]]
-                order = np.argsort(doc * 64 + weight[h >> np.uint64(64 - 18)], kind="stable")
-                h = h[order]
-                first = np.concatenate([[0], np.cumsum(np.where(new, size, 0))])[:-1]
-                keep = np.arange(len(h)) - first[doc] < (size - -(-percent * size // 100) + 1)[doc]
-                doc = doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(h[keep])), pa.array(size[doc], pa.int32()), pa.array(cls[doc])], ["token", "n", "cls"])
-
-    return prefixes
+                if not new.any():
+                    continue
+                if parts and (shingles + len(h) > CHUNK_SHINGLES or docs + new.sum() > CHUNK_DOCS):
+                    yield chunk()
+                    parts, docs, shingles, spare = [], 0, 0, spare + 1
+                keep = np.repeat(new, size)
+                parts.append((h[keep], docs + np.repeat(np.arange(new.sum()), size[new]), cls[new], size[new]))
+                docs, shingles = docs + int(new.sum()), shingles + int(size[new].sum())
+        if parts:
+            yield chunk()
+
+    return send
+
+
+def _share(weight: np.ndarray, owner_bits: int):
+    def share(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
+        """One owner: (token, class, size, commonness) of the tokens that several classes have."""
+        owner = key[0].as_py()
+        token, cls, size = [], [], []
+        for ids, sizes, doc, low, high in zip(*(frame[c] for c in _SENT[1:])):
+            doc = np.frombuffer(doc.as_buffer(), "<u2")
+            cls.append(np.frombuffer(ids.as_buffer(), "<i8")[doc])
+            size.append(np.frombuffer(sizes.as_buffer(), "<i4")[doc])
+            token.append(np.frombuffer(low.as_buffer(), "<u8") if owner < 0 else decode_tokens(high.as_buffer(), low.as_buffer()))
+        token, cls, size = np.concatenate(token), np.concatenate(cls), np.concatenate(size)
+        if owner >= 0:
+            order = np.argsort(token)
+            token, cls, size = token[order], cls[order], size[order]
+            same = np.zeros(len(token) + 1, bool)
+            same[1:-1] = token[1:] == token[:-1]
+            several = same[1:] | same[:-1]
+            token, cls, size = token[several] | np.uint64(owner << (WIDTH - owner_bits)), cls[several], size[several]
+        w = weight[token >> np.uint64(WIDTH - 18)]
+        return pa.table({"token": pa.array(token.astype(np.int64)), "cls": pa.array(cls.astype(np.int64)), "n": pa.array(size.astype(np.int32)), "w": pa.array(w.astype(np.int32))})
+
+    return share
+
+
+def prefix_tokens(docs: DataFrame, n: int, percent: int, weight: np.ndarray, shingles: int) -> DataFrame:
+    """(token, cls, n): for each class the part of its prefix that other classes have too. docs: a document or more
+    of each class."""
+    bits = min(16, max(3, (shingles // OWNER_SHINGLES).bit_length()))
+    weight = weight.astype(np.uint8)
+    sent = docs.select("doc_id", "text").mapInArrow(_send(n, weight, bits), _SENT_SCHEMA)
+    shared = sent.groupBy("owner").applyInArrow(_share(weight, bits), "token long, cls long, n int, w int")
+    shared = shared.repartition("cls").dropDuplicates(["cls", "token"])
+    by = Window.partitionBy("cls")
+    ranked = shared.withColumn("rank", F.row_number().over(by.orderBy("w", "token"))).withColumn("shared", F.count("*").over(by))
+    # unshared shingles come first; what the prefix has room for besides them
+    return ranked.filter(f"rank <= n - cast(ceil({percent} * n / 100) as int) + 1 - (n - shared)").select("token", "n", "cls")
 
 
 def _chains(percent: int):
@@ -289,15 +381,17 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     weight = commonness(described.filter("slice is not null").select("slice", "counts"))
     rows = described.filter("slice is null").select("doc_id", "n_shingles", "cls")
 
-    tokens = docs.mapInArrow(_prefixes(n, percent, weight), "token long, n int, cls long")
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    classes = stored(classes, "classes")
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    first = rows.join(classes.select("cls", F.col("doc_id").alias("of_class")), "cls").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("of_class")).alias("first"))
+    tokens = prefix_tokens(without(docs, first.filter("not first").select("doc_id"), "doc_id"), n, percent, weight, shingles)
     chained = tokens.repartition("token").sortWithinPartitions("token", "n", "cls").mapInArrow(_chains(percent), "a long, b long")
     found = components(chained)
     found = stored(found.union(found.select("root", "root").distinct()).toDF("cls", "root"), "groups")
 
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    classes = stored(classes, "classes")
     tasks, several = _tasks(classes.join(found, "cls").select("cls", "root", "n"), percent)
-    texts = semi(docs, classes.join(found, "cls", "left_semi").select("doc_id").distinct(), "doc_id").unionByName(docs.filter("doc_id is null"))
+    texts = semi(docs, classes.join(found, "cls", "left_semi").select("doc_id"), "doc_id").unionByName(docs.filter("doc_id is null"))
     sets = texts.mapInArrow(_set_rows(n), "cls long, n long, hashes binary").select("cls", "hashes")
     work = tasks.join(sets, "cls").select("root", "task", "cls", "hashes").repartition("root", "task").sortWithinPartitions("root", "task")
     links = work.mapInArrow(_linker(percent), "a long, b long")
@@ -313,7 +407,5 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, that of the least id."""
-    gone = ngram_join(docs, n, percent).filter("doc_id != component_id").select("doc_id").distinct()
-    gone = stored(gone, "near-copies")
-    few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    gone = ngram_join(docs, n, percent).filter("doc_id != component_id").select("doc_id")
+    return without(docs, gone, "doc_id")

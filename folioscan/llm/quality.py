@@ -185,7 +185,7 @@ def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: Colu
     """The rows of docs, all columns, with a score of at least threshold."""
     spark = tuned(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull()).select("doc_id", "quality")
-    taught = semi(docs, known.select("doc_id").distinct(), "doc_id")
+    taught = semi(docs, known.select("doc_id"), "doc_id")
     model = spark.sparkContext.broadcast(_model(statistics_table(taught), known, train))
     at = docs.columns.index("text")
 
