@@ -32,6 +32,7 @@ class Words:
         lower = pc.utf8_lower(pc.fill_null(texts, ""))
         sizes = np.asarray(pc.utf8_length(lower)).astype(np.int64)
         code = np.frombuffer("".join(lower.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.code = code
         self.n_docs, self.offsets = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
         letter = _is_letter()[code]
         edge = np.zeros(len(code) + 1, bool)
@@ -53,7 +54,7 @@ class Words:
     def spans(self, start: np.ndarray, length: np.ndarray, tag: np.ndarray | int = 0) -> np.ndarray:
         """Hashes of spans of letters; equal letters and tags give equal hashes."""
         h = (self._sums[start + length] - self._sums[start]) * self._down[start]
-        return K.mix(h + (np.asarray(tag, np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
+        return K.mix(h + (np.atleast_1d(np.asarray(tag, np.uint64)) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
 
     def hashes(self) -> np.ndarray:
         return self.spans(self.start, self.length)
