@@ -203,6 +203,26 @@ def choose_insults(cover: list[np.ndarray], n: int) -> np.ndarray:
     return np.array(chosen, np.int64)
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Weights of the penalised likelihood around a prior, by Newton steps that are halved until they gain."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + np.square(w - prior).sum() / 2)
+
+    w = prior
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        step = np.linalg.solve(hessian, x.T @ (weight * (y - p)) - (w - prior))
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
 def fit(taught: DataFrame) -> Model:
     """The model of rows (doc_id, text, toxic)."""
     sizes = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
@@ -247,12 +267,7 @@ def fit(taught: DataFrame) -> Model:
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     y = np.array([float(r["toxic"]) for r in seen])
     weight = np.array([r["count"] / share[r["toxic"]] for r in seen])
-    w = model.weights
-    for _ in range(30):  # Newton steps of the penalised likelihood
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
-        w = w + np.linalg.solve(hessian, x.T @ (weight * (y - p)) - (w - PRIOR))
-    model.weights = w
+    model.weights = _logistic(x, y, weight, model.weights)
     return model
 
 
