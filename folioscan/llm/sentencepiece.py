@@ -30,7 +30,9 @@ from .wfst import EPSILON, Wfst
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a task remembers.
-WORDS, PAIRS = 500_000, 500_000
+WORDS, PAIRS = 800_000, 500_000
+#: What stands before the first piece, and bytes in place of a piece.
+START, BYTES = 1 << 31, (1 << 31) + 1
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -61,10 +63,12 @@ class Model:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.longest = max(map(len, pieces), default=1)
+        self.names = {i: p for p, (i, _) in pieces.items()}
+        #: Every beginning of a piece: the id if it is a piece itself, else -1.
+        self.trie = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: i for p, (i, _) in pieces.items()}
         self.mark_table = {ord(label): out for label, out, *_ in normaliser().arcs["text"] if label}
         self.inner = any(MARK in p.lstrip(MARK) for p in pieces)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.spaced, self.bare = _Words(self, MARK), _Words(self, "")
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
@@ -87,39 +91,42 @@ class Model:
             i = min(scored)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
-    def admits(self, a: str, b: str) -> bool:
-        """The pair acceptor; a is empty before the first piece."""
-        known = self.pairs.get((a, b))
+    def admits(self, a: int, b: int) -> bool:
+        """The pair acceptor, on ids; START stands before the first piece."""
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            known = self.merge(a + b) == ([a, b] if a else [b])
+            left, right = self.names.get(a, ""), self.names[b]
+            known = self.merge(left + right) == ([left, right] if left else [right])
             if len(self.pairs) < PAIRS:
-                self.pairs[a, b] = known
+                self.pairs[a << 32 | b] = known
         return known
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of the shortest path through the composition with a normalised chunk. A state is a position and the piece
-        before it; of each position one state at most is alive."""
-        pieces, longest, pairs = self.pieces, self.longest, self.pairs
-        last: list[str | None] = [""] + [None] * len(chunk)
-        for end in range(1, len(chunk) + 1):
-            for begin in range(max(0, end - longest), end):
-                before = last[begin]
-                if before is None:
-                    continue
-                piece = chunk[begin:end]
-                if piece in pieces:
-                    ok = pairs.get((before, piece))
-                    if self.admits(before, piece) if ok is None else ok:
-                        last[end] = piece
-                        break
-                elif end - begin == 1:  # no piece begins or ends inside: bytes, and the merges start anew
-                    last[end] = piece
-        out, end = [], len(chunk)
+        before it; of each position one state is alive, so the search is one pass over positions and the pieces that
+        begin there."""
+        trie, pairs, admits, size = self.trie, self.pairs, self.admits, len(chunk)
+        last: list[int | None] = [None] * (size + 1)
+        begin = [0] * (size + 1)
+        last[0] = START
+        for i in range(size):
+            before = last[i]
+            for j in range(i + 1, size + 1):
+                piece = trie.get(chunk[i:j])
+                if piece is None:
+                    break
+                if piece >= 0 and last[j] is None:
+                    ok = pairs.get(before << 32 | piece)
+                    if ok or ok is None and admits(before, piece):
+                        last[j], begin[j] = piece, i
+            if last[i + 1] is None:  # no piece: the character's bytes, and the merges start anew behind them
+                last[i + 1], begin[i + 1] = BYTES, i
+        out, end = [], size
         while end:
-            piece = last[end]
-            end -= len(piece)
-            out.append([pieces[piece][0]] if piece in pieces else [self.byte_ids[b] for b in piece.encode()])
-        return [i for ids in reversed(out) for i in ids]
+            i = begin[end]
+            out.append([last[end]] if last[end] != BYTES else [self.byte_ids[b] for b in chunk[i:end].encode()])
+            end = i
+        return [k for ids in reversed(out) for k in ids]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, as unsigned 32-bit integers."""
