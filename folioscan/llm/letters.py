@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from . import textkernel as K
 
 #: Texts are worked on in blocks of about so many bytes (a longer text makes a block of its own).
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 
 @cache

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in blocks of about so many bytes (a longer text makes a block of its own).
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, n at least."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(22, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         made = []
         for base in (_BASE, _INVERSE):
             x = np.ones(size, np.uint64)
