@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,12 +157,12 @@ def execution_order(levels: DataFrame, keys: list[str], ties: list[str]) -> Data
     return levels.withColumn("execution_order", F.row_number().over(Window.partitionBy(*keys).orderBy("round", *ties)))
 
 
-def overlay(inherited: Column, direct: Column, fields: list[str]) -> Column:
-    """Field by field, the direct value where there is one; null where both structs are."""
-    made = F.struct(*[F.coalesce(direct[f], inherited[f]).alias(f) for f in fields])
-    return F.when(direct.isNull(), inherited).otherwise(made)
+def layered(layers: list[Column], fields: list[str]) -> Column:
+    """Field by field the value of the strongest layer that has one; layers are structs, the strongest last, and a null
+    struct has none. One flat coalesce a field, however many layers."""
+    return F.struct(*[F.coalesce(*[x[f] for x in reversed(layers)]).alias(f) for f in fields])
 
 
-def layered(layers: list[Column], fields: list[str]) -> Column:
-    """overlay() from the weakest layer to the strongest."""
-    return reduce(lambda a, b: overlay(a, b, fields), layers)
+def overlay(inherited: Column, direct: Column, fields: list[str]) -> Column:
+    """layered() of two."""
+    return layered([inherited, direct], fields)

@@ -84,13 +84,10 @@ def contributions(styles: DataFrame) -> DataFrame:
     cut = styles.join(ring, ["doc_id", "style_id"], "left").withColumn("based_on", F.when(F.col("ring"), None).otherwise(F.col("based_on"))).drop("ring")
     bags = cut.select("doc_id", F.col("style_id").alias("ancestor"), "para", "chr", "tbl")
     rows = ancestors(cut).join(bags, ["doc_id", "ancestor"])
-    deep = rows.groupBy("doc_id", "style_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "para", "chr", "tbl"))).alias("layers"))
+    def nearest(kind: str, fields: list[str]) -> Column:
+        return F.struct(*[F.min_by(F.col(kind)[f], F.when(F.col(kind)[f].isNotNull(), F.col("depth"))).alias(f) for f in fields]).alias(kind)
 
-    def stack(kind: str, fields: list[str]) -> Column:
-        empty = F.lit(None).cast(struct_type(fields))
-        return F.aggregate("layers", empty, lambda a, x: overlay(a, x[kind], fields))
-
-    return deep.select("doc_id", "style_id", stack("para", PARA).alias("para"), stack("chr", CHR).alias("chr"), stack("tbl", TBL).alias("tbl"))
+    return rows.groupBy("doc_id", "style_id").agg(nearest("para", PARA), nearest("chr", CHR), nearest("tbl", TBL))
 
 
 def default_styles(styles: DataFrame) -> DataFrame:
@@ -100,10 +97,10 @@ def default_styles(styles: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(*pick)
 
 
-def effective_paragraphs(paragraphs: DataFrame, styles: DataFrame, defaults: DataFrame) -> DataFrame:
+def effective_paragraphs(paragraphs: DataFrame, styles: DataFrame, defaults: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """paragraphs (doc_id, style_id, table_style_id, direct, ...) with effective: document defaults, table style, paragraph
-    style, direct formatting. defaults: (doc_id, para, chr)."""
-    bags = contributions(styles).select("doc_id", "style_id", "para")
+    style, direct formatting. defaults: (doc_id, para, chr); given: contributions(styles), if they are at hand."""
+    bags = (contributions(styles) if given is None else given).select("doc_id", "style_id", "para")
     rows = paragraphs.join(default_styles(styles), "doc_id", "left").join(defaults.select("doc_id", F.col("para").alias("_base")), "doc_id", "left")
     rows = rows.withColumn("_t", F.coalesce("table_style_id", "default_table")).withColumn("_p", F.coalesce("style_id", "default_paragraph"))
     for key, out in (("_t", "_tp"), ("_p", "_pp")):
@@ -112,12 +109,12 @@ def effective_paragraphs(paragraphs: DataFrame, styles: DataFrame, defaults: Dat
     return rows.withColumn("effective", made).drop("_base", "_t", "_p", "_tp", "_pp", "default_paragraph", "default_character", "default_table")
 
 
-def effective_runs(runs: DataFrame, styles: DataFrame, defaults: DataFrame) -> DataFrame:
+def effective_runs(runs: DataFrame, styles: DataFrame, defaults: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """runs (doc_id, style_id of the paragraph, table_style_id, mark, run_style_id, direct, ...) with effective, of eight
     layers: document defaults, default character style, table style, the style linked to the paragraph's, the
     paragraph's, its mark, the run's style, direct formatting."""
     styles = first_definitions(styles)
-    bags = contributions(styles).select("doc_id", "style_id", "chr")
+    bags = (contributions(styles) if given is None else given).select("doc_id", "style_id", "chr")
     rows = runs.join(default_styles(styles), "doc_id", "left").join(defaults.select("doc_id", F.col("chr").alias("_l0")), "doc_id", "left")
     rows = rows.withColumn("_t", F.coalesce("table_style_id", "default_table")).withColumn("_p", F.coalesce("style_id", "default_paragraph"))
     rows = rows.join(styles.select("doc_id", F.col("style_id").alias("_p"), F.col("linked").alias("_k")), ["doc_id", "_p"], "left")
