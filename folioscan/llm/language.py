@@ -126,7 +126,9 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
         logs = np.zeros_like(n, dtype=np.float32)
         for k in np.unique(order):
             part = n[order == k]
-            logs[order == k] = np.log((part + 0.1) / (part.sum(0) + 0.1 * len(part)))
+            made = np.log((part + 0.1) / (part.sum(0) + 0.1 * len(part)))
+            made[:, part.sum(0) == 0] = made.min(initial=0) - 1  # nothing seen of a language is no evidence for it
+            logs[order == k] = made
         tables.append((keys, logs))
     return Model(languages, *tables)
 
