@@ -38,13 +38,17 @@ def identity_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()), na_action="ignore")
 
 
+#: The characters that are white space.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def trim(c: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def trim_left(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+", "")
+    return F.ltrim(c, F.lit(BLANKS))
 
 
 def normal_space(c: Column) -> Column:

@@ -22,6 +22,7 @@ from folioscan.operators.locations import canonical_path, location
 from folioscan.sources.manuscript import MANUSCRIPT_SQL, manuscript
 
 from . import classify_sql as Q
+from .staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,19 +72,20 @@ def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = manuscript(read(spark, sf_dir, "documents"))
-    return rows, L.classify(rows)
+    """Manuscripts and their elements, each made once: what follows reads both several times."""
+    rows = staged(manuscript(read(spark, sf_dir, "documents")), "manuscripts")
+    return rows, staged(L.classify(rows).drop("reasons"), "elements")
 
 
 @query(f"WITH {Q.ELEMENTS_SQL} SELECT doc_id, path, kind, conf / 100::DOUBLE AS confidence, status FROM elements")
 def classify_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, scores, ranking and decision for every paragraph."""
-    return _elements(spark, sf_dir)[1].select("doc_id", "path", "kind", F.col("confidence").cast("double").alias("confidence"), "status")
+    return L.classify(manuscript(read(spark, sf_dir, "documents"))).select("doc_id", "path", "kind", F.col("confidence").cast("double").alias("confidence"), "status")
 
 
 @query(f"WITH {Q.ELEMENTS_SQL} SELECT kind, status, count(*) AS n FROM elements GROUP BY ALL")
 def classify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _elements(spark, sf_dir)[1].groupBy("kind", "status").agg(F.count("*").alias("n"))
+    return L.classify(manuscript(read(spark, sf_dir, "documents"))).groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -94,7 +96,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     runs = rows.select("doc_id", F.col("path").alias("para_path"), F.col("loc").withField("run_ix", F.lit(0)).alias("loc"), "text", fonts.alias("effective"))
     package = rules.builtin_rules(spark).filter("target <> 'Page' and property <> 'CaptionNumberSequence'")
     none = spark.createDataFrame([], "doc_id bigint, section_ix int, width_tw bigint, height_tw bigint, orientation string, top_tw bigint, right_tw bigint, bottom_tw bigint, left_tw bigint, columns int, gap_tw bigint")
-    return C.observations(none, paragraphs, runs, elements, package), elements
+    return staged(C.observations(none, paragraphs, runs, elements, package), "observations"), elements
 
 
 @query(f"WITH {Q.OBSERVED_SQL} SELECT doc_id, count(*) AS observations, count_if(passed)::BIGINT AS passed, CAST(round(count_if(passed) * 100::DECIMAL(20,0) / count(*), 0) AS INTEGER) AS score FROM observed GROUP BY doc_id")
@@ -116,7 +118,8 @@ _SCOPE = """CASE WHEN target = 'TableText' THEN 'table:MainDocument::0:' WHEN pr
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.issues(_observed(spark, sf_dir)[0])
-    return planning.candidate_groups(found, found.select("doc_id").distinct().withColumn("report_id", F.concat(F.lit("r"), F.col("doc_id").cast("string"))))
+    reports = found.select("doc_id").distinct().withColumn("report_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")))
+    return staged(planning.candidate_groups(found, reports), "groups")
 
 
 _GROUPS = f"""{Q.OBSERVED_SQL}, issue AS (SELECT *, {_SCOPE} AS scope, 'issue-' || left(sha256(rule_id || '|' || place || '|' || coalesce(current, 'unknown') || '|' || expected), 20) AS issue_id FROM observed WHERE NOT passed),
@@ -157,7 +160,7 @@ def text_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT doc_id, fe, (SELECT min(pos) FROM elements x WHERE x.doc_id = e.doc_id AND x.kind IN ('Heading1', 'Body') AND (fe IS NULL OR x.pos > fe)) AS bs FROM e)
     SELECT doc_id, 'element:main/section[0]/paragraph[' || fe || ']' AS front_end, 'element:main/section[0]/paragraph[' || bs || ']' AS body_start FROM b""")
 def front_matter_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.boundary(_elements(spark, sf_dir)[1])
+    return layout.boundary(L.classify(manuscript(read(spark, sf_dir, "documents"))))
 
 
 @query(r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(title|h1|h2|h3|p|li)[ >]', 1)) AS tag FROM pages)
