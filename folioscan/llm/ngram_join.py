@@ -86,7 +86,7 @@ def commonness(slices: DataFrame) -> np.ndarray:
 #: Bits of a shingle in the exchange, and those of them that are sent as they are.
 WIDTH, LOW = 40, 16
 #: Shingles of a chunk (the unit that sends) and, on average, of an owner.
-CHUNK_SHINGLES, OWNER_SHINGLES, CHUNK_DOCS = 1_500_000, 2_000_000, 65_536
+CHUNK_SHINGLES, OWNER_SHINGLES, CHUNK_DOCS = 1_000_000, 2_000_000, 65_536
 
 
 def code_tokens(rest: np.ndarray, width: int) -> bytes:
@@ -110,20 +110,21 @@ def _send(n: int, weight: np.ndarray, owner_bits: int):
     """Chunks of classes to owners. Common shingles go, uncoded, to a spare owner (negative) of the chunk."""
 
     def rows(h: np.ndarray, doc: np.ndarray, cls: np.ndarray, size: np.ndarray, spare: int) -> pa.RecordBatch:
+        out = []
         common = weight[h >> np.uint64(64 - 18)] > 0
         token = h >> np.uint64(64 - WIDTH)
-        out = []
         if common.any():
-            out.append((-1 - spare, doc[common].astype("<u2").tobytes(), token[common].astype("<u8").tobytes(), b""))
-        token, doc = token[~common], doc[~common]
+            out.append((-1 - spare, doc[common].tobytes(), token[common].astype("<u8").tobytes(), b""))
+            token, doc = token[~common], doc[~common]
         order = np.argsort(token)
-        token, doc = token[order], doc[order].astype("<u2")
-        owner = (token >> np.uint64(WIDTH - owner_bits)).astype(np.int64)
-        rest = token & np.uint64((1 << (WIDTH - owner_bits)) - 1)
-        low = (rest & np.uint64((1 << LOW) - 1)).astype("<u2")
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(owner))):
-            out.append((int(owner[a]), doc[a:b].tobytes(), low[a:b].tobytes(), code_tokens(rest[a:b], WIDTH - owner_bits)))
+        token, doc = token[order], doc[order]
+        del order, common
+        width = WIDTH - owner_bits
+        cuts = np.searchsorted(token, np.arange(1 << owner_bits, dtype=np.uint64) << np.uint64(width))
+        for owner, (a, b) in enumerate(zip(cuts, np.append(cuts[1:], len(token)))):
+            if a < b:
+                rest = token[a:b] & np.uint64((1 << width) - 1)
+                out.append((owner, doc[a:b].tobytes(), (rest & np.uint64((1 << LOW) - 1)).astype("<u2").tobytes(), code_tokens(rest, width)))
         ids, sizes = cls.astype("<i8").tobytes(), size.astype("<i4").tobytes()
         columns = [pa.array([r[0] for r in out], pa.int32()), pa.array([ids] * len(out), pa.binary()), pa.array([sizes] * len(out), pa.binary())]
         return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in out], pa.binary()) for k in (1, 2, 3))], _SENT)
@@ -135,8 +136,9 @@ def _send(n: int, weight: np.ndarray, owner_bits: int):
         parts, docs, shingles, spare = [], 0, 0, TaskContext.get().partitionId() * 64
 
         def chunk() -> pa.RecordBatch:
-            h, doc, cls, size = (np.concatenate(x) for x in zip(*parts))
-            return rows(h, doc, cls, size, spare)
+            whole = [np.concatenate(x) for x in zip(*parts)]
+            parts.clear()
+            return rows(*whole, spare)
 
         for batch in batches:
             for _, h, at, size, cls in _sets(batch, n):
@@ -151,7 +153,7 @@ def _send(n: int, weight: np.ndarray, owner_bits: int):
                     yield chunk()
                     parts, docs, shingles, spare = [], 0, 0, spare + 1
                 keep = np.repeat(new, size)
-                parts.append((h[keep], docs + np.repeat(np.arange(new.sum()), size[new]), cls[new], size[new]))
+                parts.append((h[keep], (docs + np.repeat(np.arange(new.sum()), size[new])).astype("<u2"), cls[new], size[new]))
                 docs, shingles = docs + int(new.sum()), shingles + int(size[new].sum())
         if parts:
             yield chunk()
@@ -163,20 +165,26 @@ def _share(weight: np.ndarray, owner_bits: int):
     def share(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
         """One owner: (token, class, size, commonness) of the tokens that several classes have."""
         owner = key[0].as_py()
-        token, cls, size = [], [], []
-        for ids, sizes, doc, low, high in zip(*(frame[c] for c in _SENT[1:])):
-            doc = np.frombuffer(doc.as_buffer(), "<u2")
-            cls.append(np.frombuffer(ids.as_buffer(), "<i8")[doc])
-            size.append(np.frombuffer(sizes.as_buffer(), "<i4")[doc])
+        token, docs, classes, sizes = [], [], [], []
+        for ids, n, doc, low, high in zip(*(frame[c] for c in _SENT[1:])):
+            docs.append(np.frombuffer(doc.as_buffer(), "<u2"))
+            classes.append(np.frombuffer(ids.as_buffer(), "<i8"))
+            sizes.append(np.frombuffer(n.as_buffer(), "<i4"))
             token.append(np.frombuffer(low.as_buffer(), "<u8") if owner < 0 else decode_tokens(high.as_buffer(), low.as_buffer()))
-        token, cls, size = np.concatenate(token), np.concatenate(cls), np.concatenate(size)
+        ends = np.cumsum([len(t) for t in token])
+        token = np.concatenate(token)
+        chosen = np.arange(len(token))
         if owner >= 0:
-            order = np.argsort(token)
-            token, cls, size = token[order], cls[order], size[order]
+            chosen = np.argsort(token)
+            token = token[chosen]
             same = np.zeros(len(token) + 1, bool)
             same[1:-1] = token[1:] == token[:-1]
             several = same[1:] | same[:-1]
-            token, cls, size = token[several] | np.uint64(owner << (WIDTH - owner_bits)), cls[several], size[several]
+            token, chosen = token[several] | np.uint64(owner << (WIDTH - owner_bits)), chosen[several]
+        # classes and sizes of the chosen ones only, by chunk and place in it
+        first = np.concatenate([[0], np.cumsum([len(c) for c in classes])])
+        at = first[np.searchsorted(ends, chosen, "right")] + np.concatenate(docs)[chosen]
+        cls, size = np.concatenate(classes)[at], np.concatenate(sizes)[at]
         w = weight[token >> np.uint64(WIDTH - 18)]
         return pa.table({"token": pa.array(token.astype(np.int64)), "cls": pa.array(cls.astype(np.int64)), "n": pa.array(size.astype(np.int32)), "w": pa.array(w.astype(np.int32))})
 
