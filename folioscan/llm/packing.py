@@ -14,6 +14,7 @@ table gives no piece; other columns are ignored. Very long texts are tokenized w
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -32,22 +33,29 @@ TASK_SPAN = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
 
 
+@cache
+def _whole(json_path: str):
+    """The tokenizer itself, which only rare texts need and whose tables are large."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(json_path)
+
+
 @cache
 def encoder(json_path: str, ranks_path: str, pattern: str):
     """text -> ids as the JSON tokenizer gives them. Its byte-level BPE is run from the ranks of the same vocabulary,
     which is some four times faster; texts that hold one of its special tokens go to the tokenizer itself."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(json_path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    with open(json_path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(text: str) -> list[int]:
         if any(s in text for s in special):
-            return whole.encode(text, add_special_tokens=False).ids
+            return _whole(json_path).encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return ids
