@@ -4,7 +4,9 @@ For each participant of a conversation the whole dialogue is rendered with that
 as named users, and system turns as they are. A row is one rendered turn of one perspective, with its place and its
 span of characters in the perspective's dialogue (the turns' texts, joined in order) and the span that is trained
 on: the text and end mark of the assistant's own turns. No dialogue is ever gathered: places and spans are running
-sums, first over blocks of BLOCK turns, then inside a block, so a conversation of any length is spread.
+sums, first over blocks of BLOCK turns, then inside a block. The sums over blocks need lengths only, one row a block and
+speaker; texts are shuffled once, by conversation and block, where they meet their block's start in every perspective,
+so a conversation of any length is spread.
 
 Turns are ordered by number (null first), then speaker, then text; equal rows are turns of their own. A null text is
 empty, a null speaker is called `unknown`, a null conversation id is one conversation; conversations of system turns
@@ -13,7 +15,7 @@ alone have no participant and give no row; an empty table gives an empty result;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -26,22 +28,24 @@ def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn",
     said = turns.select(
         F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("said"),
     )
-    sides = said.filter(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("side_id"), F.col("speaker").alias("perspective")).distinct()
-    rows = said.join(sides, F.col("conv_id").eqNullSafe(F.col("side_id"))).drop("side_id")
+    said = said.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+
+    def head(perspective: Column) -> Column:
+        own = F.col("speaker") == perspective
+        return F.when(own, "<|assistant|>\n").when(F.col("speaker") == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user|>\n"), "speaker", F.lit(": ")))
+
+    parts = said.groupBy("key", "block", "speaker").agg(F.count("*").alias("n"), F.sum(F.length("said")).alias("chars"))
+    sides = parts.filter(F.col("speaker") != SYSTEM).select("key", F.col("speaker").alias("perspective")).distinct()
+    sizes = parts.join(sides, "key").groupBy("key", "perspective", "block").agg(F.sum("n").alias("n"), F.sum(F.col("chars") + F.col("n") * (F.length(head(F.col("perspective"))) + len(END))).alias("chars"))
+    before = Window.partitionBy("key", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("key", "block", F.struct("perspective", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place"), F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("start")).alias("side"))
+    starts = starts.groupBy("key", "block").agg(F.collect_list("side").alias("sides"))  # as many as a conversation has speakers
+    rows = said.join(starts, ["key", "block"]).withColumn("side", F.explode("sides")).select("key", "block", "conv_id", "turn", "speaker", "said", "side.*")
+    rows = rows.withColumn("head", head(F.col("perspective"))).withColumn("rendered", F.concat("head", "said", F.lit(END)))
+    inside = Window.partitionBy("key", "block", "perspective").orderBy(F.asc_nulls_first("turn"), "speaker", "said").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("place", F.col("place") + F.count("*").over(inside)).withColumn("start", F.col("start") + F.coalesce(F.sum(F.length("rendered")).over(inside), F.lit(0)))
+    end = F.col("start") + F.length("rendered")
     own = F.col("speaker") == F.col("perspective")
-    head = F.when(own, "<|assistant|>\n").when(F.col("speaker") == SYSTEM, "<|system|>\n").otherwise(F.concat(F.lit("<|user|>\n"), "speaker", F.lit(": ")))
-    rows = rows.withColumn("head", head).withColumn("rendered", F.concat("head", "said", F.lit(END)))
-    rows = rows.withColumn("chars", F.length("rendered").cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    side = ["conv_id", "perspective"]
-    before = Window.partitionBy(*side).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*side, "block").agg(F.sum("chars").alias("c"), F.count("*").alias("n"))
-    blocks = blocks.select(
-        F.col("conv_id").alias("b_conv"), F.col("perspective").alias("b_side"), F.col("block").alias("b_block"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("chars0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place0"),
-    )
-    rows = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("perspective") == F.col("b_side")) & (F.col("block") == F.col("b_block")))
-    inside = Window.partitionBy(*side, "block").orderBy(F.asc_nulls_first("turn"), "speaker", "said").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.col("chars0") + F.coalesce(F.sum("chars").over(inside), F.lit(0))).withColumn("place", F.col("place0") + F.count("*").over(inside))
-    end = F.col("start") + F.col("chars")
     return rows.select(
         "conv_id", "perspective", "turn", "place", "rendered", "start", end.alias("end"), F.when(own, F.col("start") + F.length("head")).otherwise(end).alias("train_start"), end.alias("train_end"),
     )
