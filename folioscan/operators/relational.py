@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import encode_sequence, sha256_hex
+from folioscan.plans.staging import staged
 
 
 def uniform(value: Column) -> Column:
@@ -127,8 +128,8 @@ def closure(edges: DataFrame, node: str, parent: str, most: int = 10_000) -> Dat
     reach = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
     while step <= most:
         further = reach.alias("r").join(jump.alias("j"), F.col("r.ancestor") == F.col("j.node")).select("r.node", "j.ancestor", (F.col("r.depth") + F.col("j.depth")).alias("depth"))
-        reach = reach.union(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")).checkpoint()
-        jump = jump.alias("a").join(jump.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).checkpoint()
+        reach = staged(reach.union(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
+        jump = staged(jump.alias("a").join(jump.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")), "jump")
         step *= 2
         if jump.isEmpty():
             break
@@ -143,11 +144,11 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str, needs: str
     done, level = None, 0
     while True:
         open_ = edges if done is None else edges.join(done.select(F.col(node).alias(needs)), needs, "left_anti")
-        ready = left.join(open_.select(node).distinct(), node, "left_anti").withColumn("round", F.lit(level)).checkpoint()
+        ready = staged(left.join(open_.select(node).distinct(), node, "left_anti").withColumn("round", F.lit(level)), "ready")
         if ready.isEmpty():
             break
         done = ready if done is None else done.union(ready)
-        left = left.join(ready, node, "left_anti").checkpoint()
+        left = staged(left.join(ready, node, "left_anti"), "left")
         level += 1
     return nodes.join(done, node, "left") if done is not None else nodes.withColumn("round", F.lit(None).cast("int"))
 

@@ -337,23 +337,13 @@ def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     for by in (2, 3):
         part = nodes.select("p_partkey", F.floor(F.col("p_partkey") / by).alias("need")).filter("need > 0")
         edges = part if edges is None else edges.union(part)
-    with_checkpoints(spark)
     return R.topological_levels(nodes, edges, "p_partkey", "need")
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: that of the session, or one of its own where it is unset (as in tests)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/folioscan-checkpoints")
-
-
 @query("""WITH RECURSIVE c(node, ancestor, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT node, ancestor // 2, depth + 1 FROM c WHERE ancestor // 2 > 0)
     SELECT node, ancestor, depth FROM c""")
 def chain_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ancestors of parts whose parent is their half, by joins that double their reach."""
-    with_checkpoints(spark)
     k = F.col("p_partkey")
     return R.closure(read(spark, sf_dir, "part").select(k.alias("n"), F.when(k > 1, F.floor(k / 2)).alias("up")), "n", "up")
 
