@@ -96,7 +96,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     runs = rows.select("doc_id", F.col("path").alias("para_path"), F.col("loc").withField("run_ix", F.lit(0)).alias("loc"), "text", fonts.alias("effective"))
     package = rules.builtin_rules(spark).filter("target <> 'Page' and property <> 'CaptionNumberSequence'")
     none = spark.createDataFrame([], "doc_id bigint, section_ix int, width_tw bigint, height_tw bigint, orientation string, top_tw bigint, right_tw bigint, bottom_tw bigint, left_tw bigint, columns int, gap_tw bigint")
-    return staged(C.observations(none, paragraphs, runs, elements, package), "observations"), elements
+    return C.observations(none, paragraphs, runs, elements, package), elements
 
 
 @query(f"WITH {Q.OBSERVED_SQL} SELECT doc_id, count(*) AS observations, count_if(passed)::BIGINT AS passed, CAST(round(count_if(passed) * 100::DECIMAL(20,0) / count(*), 0) AS INTEGER) AS score FROM observed GROUP BY doc_id")
@@ -117,7 +117,7 @@ _SCOPE = """CASE WHEN target = 'TableText' THEN 'table:MainDocument::0:' WHEN pr
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.issues(_observed(spark, sf_dir)[0])
+    found = staged(C.issues(_observed(spark, sf_dir)[0]), "issues")
     reports = found.select("doc_id").distinct().withColumn("report_id", F.concat(F.lit("r"), F.col("doc_id").cast("string")))
     return staged(planning.candidate_groups(found, reports), "groups")
 

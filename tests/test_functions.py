@@ -194,3 +194,14 @@ def test_strict_artifacts(spark, tmp_path):
         (tmp_path / f"{name}.json").write_text(line + "\n")
         with pytest.raises(Exception):  # noqa: B017
             artifacts.read_artifact(spark, "proposal", str(tmp_path / f"{name}.json")).collect()
+
+
+def test_classes_by_row_equal_those_of_the_long_table(spark, sf):
+    from folioscan.operators import classify
+    from folioscan.sources.manuscript import manuscript
+
+    rows = manuscript(spark.read.parquet(f"{sf}/documents.parquet"))
+    columns = ["doc_id", "path", "kind", "confidence", "status", "reasons"]
+    by_row = classify.classify(rows).filter(F.size("reasons") > 0).select(*columns)
+    long = classify.decide(classify.candidates(classify.evidence(classify.in_context(rows)))).select(*columns)
+    assert by_row.exceptAll(long).isEmpty() and by_row.count() == long.count() > 0
