@@ -19,6 +19,7 @@ from folioscan.operators import classify as L
 from folioscan.operators import integrity, layout, pages, planning, repair, rules, styles, venues
 from folioscan.operators import relational as R
 from folioscan.operators.locations import canonical_path, location
+from folioscan.sources import docx, generate, png
 from folioscan.sources.manuscript import MANUSCRIPT_SQL, manuscript
 
 from . import classify_sql as Q
@@ -511,6 +512,24 @@ def repair_authorization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("allowed", F.col("authorization").alias("how"), "reason").agg(F.count("*").alias("n"))
 
 
+_KEPT_LINES = f"""{LINES}, kept AS (SELECT doc_id, line FROM lines WHERE line <> '' UNION ALL SELECT doc_id, '-' FROM documents WHERE replace(coalesce(text, ''), chr(10), '') = '')"""
+
+
+@query(f"WITH {_KEPT_LINES} SELECT doc_id, count(*) AS paragraphs, sum(length(line))::BIGINT AS chars FROM kept GROUP BY 1")
+def docx_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Word packages, checked and taken apart again."""
+    found = docx.table(docx.nodes(generate.packages(read(spark, sf_dir, "documents"))), "paragraph")
+    return found.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query(f"""WITH {_KEPT_LINES} SELECT doc_id, 1 AS page_no, {generate.WIDTH} AS width, CAST(count(*) AS INTEGER) AS height, sum(least(length(line), {generate.WIDTH})) / CAST({generate.WIDTH} * count(*) AS DOUBLE) AS ink_ratio
+    FROM kept GROUP BY 1""")
+def page_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page images, decoded to scanlines and measured."""
+    seen = pages.page_evidence(png.scanlines(generate.rendered_pages(read(spark, sf_dir, "documents"))))
+    return seen.select("doc_id", "page_no", "width", "height", "ink_ratio")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
