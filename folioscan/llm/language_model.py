@@ -1,13 +1,15 @@
 """Text scores from a log-bilinear model trained with noise-contrastive estimation, and from counted words.
 
 Tokens are words (A-Z folded) and an end for each text. All training texts are counted. The model's symbols are the
-SHORT commonest tokens and CLASSES classes of all others by their last two bytes: the log-bilinear part gives
-normalised probabilities of the next symbol after the two before it, and within a class a token's share is its
-count plus one, with one more for all unseen ones, so that probabilities of tokens add up to one.
+commonest tokens and classes of all others by their last bytes: the log-bilinear part gives normalised probabilities
+of the next symbol after the two before it, and within a class a token's share is its count plus one, with one more
+for all unseen ones, so that probabilities of tokens add up to one. Both the short list and the classes grow with the
+cube root of the vocabulary, from SHORT and CLASSES (see symbol_counts()).
 
-Training is by noise-contrastive estimation in numpy on TRAIN_DOCS texts in expectation (chosen by a hash of the
-id); counts, vocabulary and class sizes cover every training row. Scoring takes matrix products in batches for the
-normalisers of contexts not met before, and a row-wise product for the symbols that follow.
+Training is by noise-contrastive estimation in numpy. A pass over TRAIN_DOCS texts in expectation (chosen by a hash of
+the id) gives all tasks the same beginning; then, EPOCHS times, every task goes through all training texts of its
+partition and the tasks' parameters are averaged by their tokens. Scoring takes matrix products in batches for the
+normalisers of contexts, which are kept while a table of them is small, and a row-wise product for what follows.
 
 Counts of the TOP commonest tokens are broadcast (the bound is on their number); rarer tokens of a text are joined
 with the counts by hash.
@@ -18,23 +20,36 @@ likely; repeated rows are separate texts; an empty table gives an empty result;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import fold, stored, tuned
+from .common import dropped, fold, stored, tuned
 
 SHORT, CLASSES, TOP = 768, 256, 1 << 18
+#: Distinct words up to which SHORT and CLASSES hold, and the low bits of a key that have its class.
+LEAST_WORDS, CLASS_BITS = 400_000, 16
 TRAIN_DOCS, WIDTH, NOISE, BATCH, EPOCHS, RATE = 3_000, 32, 64, 1024, 3, 0.1
+#: Pieces that parameters are averaged in, and normalisers that a worker keeps.
+PIECES, KEPT = 256, 1 << 24
 END = np.uint64(0x454E4400)
 #: Tokens whose counts are put together before they are shuffled.
 COUNT_TOKENS = 4_000_000
-_CLASS_OF = K.mix(np.arange(65536, dtype=np.uint64)) & np.uint64(CLASSES - 1)
+_LAST_TWO = K.mix(np.arange(65536, dtype=np.uint64)) & np.uint64(255)
+_THIRD = (K.mix(np.arange(256, dtype=np.uint64)) & np.uint64((1 << CLASS_BITS - 8) - 1)) << np.uint64(8)
+
+
+def symbol_counts(distinct: int) -> tuple[int, int]:
+    """The short list and the classes (a power of two) for so many distinct words."""
+    grown = max(1.0, distinct / LEAST_WORDS) ** (1 / 3)
+    return round(SHORT * grown), min(CLASSES << round(math.log2(grown)), 1 << CLASS_BITS)
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +59,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     n = len(offsets) - 1
     last = K.LOWER[data[ends - 1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     before = np.where(ends - starts > 1, K.LOWER[data[ends - 2]], 0).astype(np.int64) if len(ends) else last
-    key = (K.word_hashes(data, starts) & ~np.uint64(CLASSES - 1)) | _CLASS_OF[last * 256 + before]
+    third = K.LOWER[data[np.maximum(ends - 3, starts)]].astype(np.int64) if len(ends) else last
+    key = (K.word_hashes(data, starts) & ~np.uint64((1 << CLASS_BITS) - 1)) | _LAST_TWO[last * 256 + before] | _THIRD[third]
     out = np.full(len(key) + n, END, np.uint64)
     out[np.arange(len(key)) + doc] = key
     return out, np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)
@@ -75,7 +91,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """top: ascending keys of the commonest tokens, with counts and symbols (classes are the last CLASSES symbols)."""
+    """top: ascending keys of the commonest tokens, with counts and symbols (classes are the last symbols), and how often
+    each symbol occurs."""
 
     top: np.ndarray
     count: np.ndarray
@@ -89,10 +106,15 @@ class Model:
     out: np.ndarray = field(default=None)
     bias: np.ndarray = field(default=None)
     normaliser: np.ndarray = field(default=None)
+    classes: int = CLASSES
+    frequency: np.ndarray = field(default=None)
+
+    def class_of(self, key: np.ndarray) -> np.ndarray:
+        return (key & np.uint64(self.classes - 1)).astype(np.int64)
 
     def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts (-1: not among the commonest) and symbols."""
-        symbol = self.n_symbols - CLASSES + (key & np.uint64(CLASSES - 1)).astype(np.int64)
+        symbol = self.n_symbols - self.classes + self.class_of(key)
         if not len(self.top):
             return np.full(len(key), -1), symbol
         at = np.searchsorted(self.top, key)
@@ -111,18 +133,28 @@ class Model:
         return one, two
 
     def log_normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The logarithm of the sum over all symbols, for each context; batched products for contexts not seen yet."""
+        """The logarithm of the sum over all symbols, for each context; batched products for contexts not kept."""
         size = self.n_symbols + 1
+        at = one * size + two
+        if size * size > KEPT:
+            new, place = np.unique(at, return_inverse=True)
+            return self._normalisers(new)[place]
         if self.normaliser is None:
             self.normaliser = np.full(size * size, np.nan, np.float32)
-        at = one * size + two
         new = np.unique(at[np.isnan(self.normaliser[at])])
-        for i in range(0, len(new), 2048):
-            part = new[i : i + 2048]
+        self.normaliser[new] = self._normalisers(new)
+        return self.normaliser[at]
+
+    def _normalisers(self, contexts: np.ndarray) -> np.ndarray:
+        size, made = self.n_symbols + 1, np.zeros(len(contexts), np.float32)
+        step = max(64, min(2048, (1 << 22) // size))
+        for i in range(0, len(contexts), step):
+            part = contexts[i : i + step]
             logits = (self.left[part // size] + self.right[part % size]) @ self.out.T + self.bias
             most = logits.max(1)
-            self.normaliser[part] = most + np.log(np.exp(logits - most[:, None]).sum(1))
-        return self.normaliser[at]
+            logits -= most[:, None]
+            made[i : i + step] = most + np.log(np.exp(logits, out=logits).sum(1))
+        return made
 
     def log10_symbols(self, symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
         one, two = self.contexts(symbol, doc)
@@ -130,44 +162,101 @@ class Model:
         return (logit.astype(np.float64) - self.log_normalisers(one, two)) / np.log(10)
 
 
-def train(model: Model, sequences: list[np.ndarray], seed: int = 11) -> None:
+class Trainer:
     """Noise-contrastive estimation: tell each symbol that follows a context from NOISE symbols drawn by frequency."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    n = model.n_symbols
-    symbol = np.concatenate([*sequences, np.zeros(0, np.int64)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
-    noise = (np.bincount(symbol, minlength=n) + 1.0) / (len(symbol) + n)
-    left, right, out = (rng.normal(0, 0.05, (n + k, WIDTH)) for k in (1, 1, 0))
-    bias = np.log(noise)
-    offset = np.log(NOISE * noise)
-    one, two = model.contexts(symbol, doc)
-    square = [np.full(x.shape, 1e-2) for x in (left, right, out, bias)]
-    cumulative = np.cumsum(noise)
-
-    def step(which: int, x: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
+
+    def __init__(self, model: Model, seed: int = 11):
+        n, rng = model.n_symbols, np.random.Generator(np.random.PCG64(seed))
+        self.noise = (model.frequency + 1.0) / (model.frequency.sum() + n)
+        self.x = [rng.normal(0, 0.05, (n + k, WIDTH)).astype(np.float32) for k in (1, 1, 0)] + [np.log(self.noise).astype(np.float32)]
+        self.square = [np.full(x.shape, 1e-2, np.float32) for x in self.x]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.x + self.square])
+
+    def fill(self, flat: np.ndarray) -> None:
+        parts = np.split(flat, np.cumsum([x.size for x in self.x + self.square])[:-1])
+        shaped = [part.reshape(x.shape).copy() for part, x in zip(parts, self.x + self.square)]
+        self.x, self.square = shaped[: len(self.x)], shaped[len(self.x) :]
+
+    def _step(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
         order = np.argsort(rows)
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         used, total = rows[first], np.add.reduceat(grad[order], first, axis=0)
-        square[which][used] += total**2
-        x[used] += RATE * total / np.sqrt(square[which][used])
-
-    for _ in range(EPOCHS):
+        square = self.square[which][used] + total**2
+        self.square[which][used] = square
+        self.x[which][used] += np.float32(RATE) * total / np.sqrt(square)
+
+    def go_through(self, model: Model, symbol: np.ndarray, doc: np.ndarray, rng: np.random.Generator) -> None:
+        """Every symbol of some texts once, in random order."""
+        offset, cumulative = np.log(NOISE * self.noise).astype(np.float32), np.cumsum(self.noise)
+        one, two = model.contexts(symbol, doc)
         order = rng.permutation(len(symbol))
         for i in range(0, len(order), BATCH):
+            left, right, out, bias = self.x
             at = order[i : i + BATCH]
             a, b, w = one[at], two[at], symbol[at]
-            fake = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), n - 1)
-            q = left[a] + right[b]
-            real = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, out[w]) + bias[w] - offset[w]))
-            lie = 1 / (1 + np.exp(-(q @ out[fake].T + bias[fake] - offset[fake])))
-            grad_q = (real[:, None] * out[w] - lie @ out[fake]) / len(at)
+            fake = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), model.n_symbols - 1)
+            q, true, false, size = left[a] + right[b], out[w], out[fake], np.float32(len(at))
+            real = 1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", q, true) + bias[w] - offset[w], 60)))
+            lie = 1 / (1 + np.exp(np.minimum(-(q @ false.T + bias[fake] - offset[fake]), 60)))
+            grad_q = (real[:, None] * true - lie @ false) / size
             rows = np.concatenate([w, fake])
-            step(2, out, rows, np.concatenate([real[:, None] * q, -(lie.T @ q)]) / len(at))
-            step(3, bias, rows, np.concatenate([real, -lie.sum(0)]) / len(at))
-            step(0, left, a, grad_q)
-            step(1, right, b, grad_q)
-    model.left, model.right, model.out, model.bias = (x.astype(np.float32) for x in (left, right, out, bias))
+            self._step(2, rows, np.concatenate([real[:, None] * q, -(lie.T @ q)]) / size)
+            self._step(3, rows, np.concatenate([real, -lie.sum(0)]) / size)
+            self._step(0, a, grad_q)
+            self._step(1, b, grad_q)
+
+    def finish(self, model: Model) -> None:
+        model.left, model.right, model.out, model.bias = self.x
+
+
+def train(model: Model, sequences: list[np.ndarray], seed: int = 11) -> Trainer:
+    """A pass over some sequences of symbols, after which the model can be used."""
+    symbol = np.concatenate([*sequences, np.zeros(0, np.int64)]).astype(np.int64)
+    if model.frequency is None:
+        model.frequency = np.bincount(symbol, minlength=model.n_symbols).astype(float)
+    trainer = Trainer(model, seed)
+    trainer.go_through(model, symbol, np.repeat(np.arange(len(sequences)), [len(s) for s in sequences]), np.random.Generator(np.random.PCG64(seed + 1)))
+    trainer.finish(model)
+    return trainer
+
+
+def averaged(texts: DataFrame, kind: str, model: Model, trainer: Trainer, seed: int) -> None:
+    """One pass of every task over all texts (symbols of type kind) of its partition; the trainer takes the mean of their parameters,
+    weighted by tokens. It is formed in PIECES groups, so no task holds more than a piece of each partition's."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast((model, trainer))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        m, given = shared.value
+        own, n = Trainer(m), 0
+        own.fill(given.flat())
+        rng = np.random.Generator(np.random.PCG64([seed, TaskContext.get().partitionId()]))
+        for batch in batches:
+            per = np.asarray(pc.binary_length(batch.column(0))).astype(np.int64) // np.dtype(kind).itemsize
+            symbol = np.frombuffer(b"".join(batch.column(0).to_pylist()), kind).astype(np.int64)
+            own.go_through(m, symbol, np.repeat(np.arange(len(per)), per), rng)
+            n += len(symbol)
+        if n:
+            parts = [x.tobytes() for x in np.array_split(own.flat(), PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([n] * PIECES, pa.int64()), pa.array(parts, pa.binary())], ["piece", "n", "x"])
+
+    def mean(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
+        total, n = 0.0, 0
+        for x, k in zip(frame["x"], frame["n"].to_pylist()):
+            total, n = total + np.frombuffer(x.as_buffer(), np.float32) * float(k), n + k
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "x": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+    schema = "piece int, n long, x binary"
+    rows = sorted(texts.select("symbols").mapInArrow(local, schema).groupBy("piece").applyInArrow(mean, schema).collect(), key=lambda r: r["piece"])
+    if rows:
+        trainer.fill(np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows]))
+        trainer.finish(model)
+    shared.unpersist()
 
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
@@ -181,32 +270,43 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
         least, kept = r["n"], kept + r["k"]
     rows = counts.filter(F.col("n") >= least).toPandas() if least else counts.limit(0).toPandas()  # TOP rows at most
     rows = rows.sort_values(["n", "key"], ascending=False).reset_index(drop=True)
-    listed = set(rows["key"][:SHORT])
+    short, classes = symbol_counts(distinct or 0)
+    listed = set(rows["key"][:short])
     listed |= {int(END)} & set(rows["key"])
     symbol = np.full(len(rows), -1)
     symbol[rows["key"].isin(listed)] = np.arange(len(listed))
     key = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    model = Model(key[order], rows["n"].to_numpy(np.int64)[order], symbol[order], len(listed) + CLASSES, np.zeros(CLASSES), total or 0, distinct)
-    size = np.ones(CLASSES)
-    for r in counts.groupBy(F.col("key").bitwiseAND(CLASSES - 1).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+    model = Model(key[order], rows["n"].to_numpy(np.int64)[order], symbol[order], len(listed) + classes, np.zeros(classes), total or 0, distinct, classes=classes)
+    size, often = np.ones(classes), np.zeros(len(listed) + classes)
+    for r in counts.groupBy(F.col("key").bitwiseAND(classes - 1).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         size[r["c"]] += r["n"] + r["k"]
-    for k, n in zip(rows["key"], rows["n"]):
-        if k in listed:
-            size[k & (CLASSES - 1)] -= n + 1
-    model.class_log = np.log10(size)
+        often[len(listed) + r["c"]] += r["n"]
+    for k, n, at in zip(rows["key"], rows["n"], symbol):
+        if at >= 0:
+            size[k & (classes - 1)] -= n + 1
+            often[len(listed) + (k & (classes - 1))] -= n
+            often[at] = n
+    model.class_log, model.frequency = np.log10(size), often
+
+    kind = "<u2" if model.n_symbols < 1 << 16 else "<u4"
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in K.blocks(batch.column(0)):
+            for i, j, data, offsets in K.blocks(batch.column(1)):
                 key, doc = tokens(data, offsets)
-                cuts = np.cumsum(np.bincount(doc, minlength=j - i))[:-1]
-                parts = [s.astype("<i2").tobytes() for s in np.split(model.look_up(key)[1], cuts)]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["symbols"])
+                symbols = model.look_up(key)[1].astype(kind)
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]) * symbols.itemsize
+                parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(symbols)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), parts.cast(pa.binary())], ["sample", "symbols"])
 
     share = min(1.0, TRAIN_DOCS / max(1, int(model.count[model.top == END].sum())))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    train(model, [np.frombuffer(r["symbols"], "<i2") for r in some.mapInArrow(sequences, "symbols binary").collect()])
+    sample = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    texts = stored(docs.select(sample.alias("sample"), "text").mapInArrow(sequences, "sample boolean, symbols binary"), "symbols")
+    trainer = train(model, [np.frombuffer(r["symbols"], kind) for r in texts.filter("sample").select("symbols").collect()])
+    for k in range(EPOCHS if total else 0):
+        averaged(texts, kind, model, trainer, k)
+    dropped(texts)
     return model
 
 
@@ -232,8 +332,8 @@ def score_texts(docs: DataFrame, training: Column | None = None) -> DataFrame:
                 per = np.bincount(doc, minlength=j - i)
                 top = count >= 0
                 logs = np.where(top, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-                open_ = symbol >= m.n_symbols - CLASSES
-                fixed = m.log10_symbols(symbol, doc) + np.where(open_, logs - m.class_log[(key & np.uint64(CLASSES - 1)).astype(np.int64)], 0.0)
+                open_ = symbol >= m.n_symbols - m.classes
+                fixed = m.log10_symbols(symbol, doc) + np.where(open_, logs - m.class_log[m.class_of(key)], 0.0)
                 by = lambda x: np.bincount(doc, weights=x, minlength=j - i)
                 rare = np.concatenate([[0], np.cumsum(np.bincount(doc[~top], minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([

@@ -148,3 +148,24 @@ def test_lm_edges(spark, edge, empty):
     assert language_model.score_texts(empty).count() == 0
     none = language_model.score_texts(edge, F.lit(False)).collect()
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in none)
+
+
+def test_lm_network_learns_from_all_training_rows(spark):
+    """The texts outside the sample alone say what follows what."""
+    rng = np.random.default_rng(3)
+    share = language_model.TRAIN_DOCS / 6000
+    ids = spark.range(6000).select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).alias("sample")).collect()
+    words = [f"w{i}" for i in range(10)]
+    pairs = lambda: " ".join(f"{a} {a}x" for a in rng.choice(words, 75))
+    mixed = lambda: " ".join(rng.permutation([*rng.choice(words, 75), *(f"{a}x" for a in rng.choice(words, 75))]))
+    rows = [(r["id"], mixed() if r["sample"] else pairs()) for r in ids]
+    test = [(10_000 + i, t) for i, t in enumerate([*(pairs() for _ in range(20)), *(mixed() for _ in range(20))])]
+    docs = spark.createDataFrame(rows + test, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in language_model.score_texts(docs, F.col("doc_id") < 10_000).filter("held_out").collect()}
+    of = lambda first: sum(got[10_000 + i] for i in range(first, first + 20)) / 20
+    assert of(0) > of(20) + 15
+
+
+def test_lm_symbols_grow_with_the_vocabulary():
+    assert language_model.symbol_counts(1000) == language_model.symbol_counts(400_000) == (768, 256)
+    assert language_model.symbol_counts(3_200_000) == (1536, 512) and language_model.symbol_counts(400_000_000) == (7680, 2048)
