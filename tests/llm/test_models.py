@@ -169,3 +169,19 @@ def test_lm_network_learns_from_all_training_rows(spark):
 def test_lm_symbols_grow_with_the_vocabulary():
     assert language_model.symbol_counts(1000) == language_model.symbol_counts(400_000) == (768, 256)
     assert language_model.symbol_counts(3_200_000) == (1536, 512) and language_model.symbol_counts(400_000_000) == (7680, 2048)
+
+
+def test_language_learns_rare_languages_and_more_than_500(spark, monkeypatch):
+    """A language with four texts among many, whose words are rarer than the tables' commonest entries; 600 languages."""
+    monkeypatch.setattr(language, "TRAIN_DOCS", 50)
+    monkeypatch.setattr(language, "WORDS", 20)
+    monkeypatch.setattr(language, "GRAMS", 20)
+    words = ["haus", "baum", "wald", "berg", "fluss", "strasse", "garten", "himmel"]
+    rows = [(i, " ".join(words), "de") for i in range(3000)] + [(5000 + i, "talo puu metsä vuori joki", "fi") for i in range(4)]
+    docs = spark.createDataFrame([*rows, (9000, "metsä vuori talo", None), (9001, "wald berg", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, F.lit(True)).filter("doc_id >= 9000").collect()}
+    assert got == {9000: "fi", 9001: "de"}
+    name = lambda k: "".join(chr(97 + int(c)) for c in f"{k:03d}") * 2
+    many = [(i, " ".join([name(i // 2)] * 3), f"x{i // 2:03d}") for i in range(1200)]
+    rows = language.identify(spark.createDataFrame(many, "doc_id long, text string, lang string"), F.lit(True)).collect()
+    assert all(r["lang_pred"] == f"x{r['doc_id'] // 2:03d}" for r in rows)
