@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,6 +29,8 @@ from .common import tuned
 CAPACITY = 1024
 #: Remainders that are packed together.
 POOL = 20_000
+#: White-space characters in a row that the fast library is not given.
+LONG_RUN = 100_000
 #: Sequences that a task can number.
 TASK_SPAN = 1 << 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -44,7 +47,8 @@ def _whole(json_path: str):
 @cache
 def encoder(json_path: str, ranks_path: str, pattern: str):
     """text -> ids as the JSON tokenizer gives them. Its byte-level BPE is run from the ranks of the same vocabulary,
-    which is some four times faster; texts that hold one of its special tokens go to the tokenizer itself."""
+    which is some four times faster; texts that hold one of its special tokens or LONG_RUN white-space characters in a
+    row, and any other on which the fast library's regular expressions run out of stack, go to the tokenizer itself."""
     import tiktoken
 
     with open(json_path, encoding="utf-8") as f:
@@ -53,10 +57,24 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    long_run = re.compile(rf"\s{{{LONG_RUN}}}")
+
+    def slow(text: str) -> list[int]:
+        return _whole(json_path).encode(text, add_special_tokens=False).ids
+
     def ids(text: str) -> list[int]:
         if any(s in text for s in special):
-            return _whole(json_path).encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+            return slow(text)
+        if len(text) < LONG_RUN:
+            return fast.encode_ordinary(text)
+        if long_run.search(text):
+            return slow(text)
+        try:
+            return fast.encode_ordinary(text)
+        except BaseException as e:  # a panic of the library is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return slow(text)
 
     return ids
 

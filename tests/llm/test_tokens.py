@@ -159,3 +159,10 @@ def test_error_bounds_hold():
 def test_binary_parts(n):
     parts = packing.binary_parts(n)
     assert sum(parts) == n and all(p & (p - 1) == 0 for p in parts)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \t"])
+def test_packing_of_a_run_of_a_million_blanks(run):
+    """The fast library panics on these."""
+    text = "a" + run * (1_000_000 // len(run)) + "b"
+    assert packing.encoder(*tokenizer_files())(text) == Tokenizer.from_file(public.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
