@@ -8,7 +8,7 @@ bound; blocks' lists are merged by rank. Every row is indexed; the mean covers a
 
 Vectors are dealt to blocks by hash of the id, queries go to every block (they are the smaller side), and both
 sides of a task are bounded. Vectors that are null, zero, of another length than most or hold null or non-finite
-components take no part. Repeated ids are separate candidates, but a query is never its own id's neighbour; ties go
+components take no part. Repeated ids are separate candidates, but a query is never its own id's neighbour, and equal queries are one; ties go
 to the smaller id; with fewer than K candidates all are returned; an empty table gives an empty result.
 """
 
@@ -76,9 +76,10 @@ def _searcher(mean: np.ndarray, turn: np.ndarray, k: int):
             for i in range(0, len(q), step):
                 guess, error = estimate(bits, length, correction, q[i : i + step], mean, turn)
                 for j in range(len(guess)):
-                    least = guess[j] - error[j]
-                    kth = np.partition(least, len(least) - k - 1)[len(least) - k - 1] if len(least) > k else -np.inf  # one more: the query itself
-                    at = np.flatnonzero((guess[j] + error[j] >= kth) & (ids != names[i + j]))
+                    other = ids != names[i + j]
+                    least = np.where(other, guess[j] - error[j], -np.inf)
+                    kth = np.partition(least, len(least) - k)[len(least) - k] if len(least) >= k else -np.inf
+                    at = np.flatnonzero((guess[j] + error[j] >= kth) & other)
                     scores = x[at] @ q[i + j]
                     best = top(ids[at], scores, k)
                     out += zip([int(names[i + j])] * len(best), ids[at][best].tolist(), scores[best].tolist())
@@ -115,7 +116,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             )
 
     index = stored(rows.select("vec_id", "x").mapInArrow(code, "vec_id long, bits binary, length double, correction double, vector binary"), "index")
-    queries = index.filter(is_query).select("vec_id", "vector")
+    queries = index.filter(is_query).select("vec_id", "vector").distinct()
     asked = queries.count()
     if not asked:
         return empty

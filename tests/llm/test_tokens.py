@@ -166,3 +166,13 @@ def test_packing_of_a_run_of_a_million_blanks(run):
     """The fast library panics on these."""
     text = "a" + run * (1_000_000 // len(run)) + "b"
     assert packing.encoder(*tokenizer_files())(text) == Tokenizer.from_file(public.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
+def test_search_with_a_query_that_occurs_often(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 32))
+    x[0] *= 30
+    rows = [(0, x[0].tolist())] * 25 + [(i, x[i].tolist()) for i in range(1, 60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.search(vectors, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == (np.argsort(-(x[1:] @ x[0]))[:20] + 1).tolist()
