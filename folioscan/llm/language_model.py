@@ -60,7 +60,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = K.LOWER[data[ends - 1]].astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     before = np.where(ends - starts > 1, K.LOWER[data[ends - 2]], 0).astype(np.int64) if len(ends) else last
     third = K.LOWER[data[np.maximum(ends - 3, starts)]].astype(np.int64) if len(ends) else last
-    key = (K.word_hashes(data, starts) & ~np.uint64((1 << CLASS_BITS) - 1)) | _LAST_TWO[last * 256 + before] | _THIRD[third]
+    key = (K.word_hashes(data, starts, ends) & ~np.uint64((1 << CLASS_BITS) - 1)) | _LAST_TWO[last * 256 + before] | _THIRD[third]
     out = np.full(len(key) + n, END, np.uint64)
     out[np.arange(len(key)) + doc] = key
     return out, np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)

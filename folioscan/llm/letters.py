@@ -8,6 +8,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from . import textkernel as K
 
@@ -57,7 +58,11 @@ class Words:
         return K.mix(h + (np.atleast_1d(np.asarray(tag, np.uint64)) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9))
 
     def hashes(self) -> np.ndarray:
-        return self.spans(self.start, self.length)
+        """Hashes of whole words; long ones one by one, as in textkernel.word_hashes()."""
+        out = self.spans(self.start, self.length)
+        for i in np.flatnonzero(self.length >= K.LONG):
+            out[i] = xxhash.xxh3_64_intdigest(self.code[self.start[i] : self.start[i] + self.length[i]].tobytes())
+        return out
 
     def grams(self, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-letter grams of some words, marked at a word's begin and end, and the place in which."""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are worked on in blocks of about so many bytes (a longer text makes a block of its own).
 BLOCK = 1 << 20
@@ -23,6 +24,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _WORD_BYTE = np.where(IS_SPACE, np.uint64(0), _BYTE[LOWER])
 _powers: list[np.ndarray] = []
+#: Words of so many bytes are hashed by xxhash: a polynomial modulo 2**64 gives some long words of few letters one hash.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,15 +93,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SP
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of the words that begin at starts, A-Z folded. A polynomial over random values for bytes,
-    moved to the word's own origin by the inverse power; white space counts zero."""
+    moved to the word's own origin by the inverse power; white space counts zero. Where ends are given, words of LONG
+    bytes and more are hashed one by one."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _tables(len(data))
     x = _WORD_BYTE[data]
     x *= up[: len(data)]
-    return mix(np.add.reduceat(x, starts) * down[starts])
+    out = mix(np.add.reduceat(x, starts) * down[starts])
+    if ends is not None:
+        for i in np.flatnonzero(ends - starts >= LONG):
+            out[i] = xxhash.xxh3_64_intdigest(LOWER[data[starts[i] : ends[i]]].tobytes())
+    return out
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n_docs: int, n: int) -> tuple[np.ndarray, np.ndarray]:
