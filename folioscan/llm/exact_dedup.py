@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, semi, stored, tuned, without
 
-#: Rows of a chunk, the unit that sends fingerprints and gets a bitmap, and fingerprints of an owner, on average.
-CHUNK_ROWS, OWNER_ROWS = 65_536, 32_768
+#: Most rows of a chunk, the unit that sends fingerprints and gets a bitmap, and fingerprints of an owner, on average;
+#: least rows of either; parts that small tables have.
+CHUNK_ROWS, OWNER_ROWS, LEAST_ROWS, PARTS = 1 << 19, 1 << 20, 4096, 64
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -33,38 +34,32 @@ def rice_bits(n: int, span: int) -> int:
 
 
 def encode(values: np.ndarray, span: int) -> bytes:
-    """Ascending values in [0, span) as Golomb-Rice coded gaps: unary quotient, k low bits."""
+    """Ascending values in [0, span) as Golomb-Rice coded gaps: all quotients in unary, then all low bits, k each."""
     if not len(values):
         return b""
     k = rice_bits(len(values), span)
     gaps = np.diff(values, prepend=np.uint64(0))
-    high, low = (gaps >> np.uint64(k)).astype(np.int64), gaps & np.uint64((1 << k) - 1)
-    ends = np.cumsum(high + 1 + k)
-    bits = np.zeros(int(ends[-1]), np.uint8)
-    bits[ends - k - 1] = 1  # zeros, then the stop bit
-    for b in range(k):
-        bits[ends - k + b] = (low >> np.uint64(k - 1 - b)) & np.uint64(1)
-    return np.packbits(bits).tobytes()
+    ends = np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1  # zeros, then the stop bit
+    low = (gaps[:, None] >> np.arange(k - 1, -1, -1, dtype=np.uint64)) & np.uint64(1) if k else np.zeros((0, 0))
+    return np.packbits(unary).tobytes() + np.packbits(low.astype(np.uint8).ravel()).tobytes()
 
 
 def decode(code: bytes, n: int, span: int) -> np.ndarray:
-    """The inverse of encode()."""
+    """The inverse of encode(), without a loop over values: the n-th stop bit ends the quotients."""
     if not n:
         return np.zeros(0, np.uint64)
     k = rice_bits(n, span)
-    bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    ones = np.flatnonzero(bits)
-    gaps, at, i = np.zeros(n, np.uint64), 0, 0
-    weights = (1 << np.arange(k - 1, -1, -1, dtype=np.uint64)) if k else np.zeros(0, np.uint64)
-    stops = np.zeros(n, np.int64)
-    for j in range(n):  # the next stop bit lies past the low bits of this value
-        i = int(np.searchsorted(ones[i:], at)) + i
-        stops[j] = ones[i]
-        gaps[j] = ones[i] - at
-        at = int(ones[i]) + 1 + k
+    low_bytes = -(-n * k // 8)
+    data = np.frombuffer(code, np.uint8)
+    stops = np.flatnonzero(np.unpackbits(data[: len(data) - low_bytes]))
+    gaps = np.diff(stops, prepend=-1).astype(np.uint64) - np.uint64(1)
     if k:
-        low = bits[stops[:, None] + 1 + np.arange(k)].astype(np.uint64) @ weights
-        gaps = (gaps << np.uint64(k)) | low
+        low = np.unpackbits(data[len(data) - low_bytes :], count=n * k).reshape(n, k)
+        gaps <<= np.uint64(k)
+        for b in range(k):
+            gaps |= low[:, b].astype(np.uint64) << np.uint64(k - 1 - b)
     return np.cumsum(gaps, dtype=np.uint64)
 
 
@@ -76,11 +71,15 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (SHA-256 of the folded text), print (its first 64 bits), and the row's place: chunk, pos."""
+    """doc_id, digest (SHA-256 of the folded text), print (its first 64 bits), and the row's place: chunk, row. Small
+    partitions share a chunk, so that a chunk's messages to owners stay long however many partitions there are."""
     made = docs.select("doc_id", "text").mapInArrow(_prints, "doc_id long, digest binary, print long")
-    row = F.monotonically_increasing_id()
-    rows = stored(made.withColumn("row", row), "prints")  # written once: places never change afterwards
-    return rows.withColumn("chunk", F.shiftright("row", 33) * (1 << 20) + (F.col("row").bitwiseAND((1 << 33) - 1) / CHUNK_ROWS).cast("long"))
+    rows = stored(made.withColumn("row", F.monotonically_increasing_id()), "prints")  # written once: places never change afterwards
+    part, place = F.shiftright("row", 33), F.col("row").bitwiseAND((1 << 33) - 1)
+    n, parts = rows.agg(F.count("*"), F.max(part) + 1).first()
+    size = min(CHUNK_ROWS, max(LEAST_ROWS, n // PARTS))
+    together = max(1, size * (parts or 1) // max(n, 1))
+    return rows.withColumn("chunk", F.floor(part / together) * (1 << 20) + (place / size).cast("long"))
 
 
 def _distinct(frame: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +131,7 @@ def _flagger(span: int):
 
 def suspects(rows: DataFrame) -> DataFrame:
     """row, doc_id and digest of the rows whose fingerprint another row shares."""
-    owners = max(64, 1 << (rows.count() // OWNER_ROWS).bit_length())
+    owners = max(PARTS, 1 << (rows.count() // OWNER_ROWS).bit_length())
     span = 2**64 // owners
     sent = rows.select("chunk", "print").groupBy("chunk").applyInArrow(_sender(span), "owner long, chunk long, n long, code binary")
     answers = sent.groupBy("owner").applyInArrow(_answerer(span), "owner long, chunk long, bitmap binary")
@@ -161,10 +160,20 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def row_key(doc_id, digest) -> F.Column:
+    """A key of a row's id and text; a null id is an id of its own."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")).cast("binary"), F.lit(b" "), digest)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without the copies that do not stay. Of rows that repeat even the id one stays."""
-    gone = exact_dedup(docs).groupBy("doc_id", "keep_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    again = gone.filter("kept and n > 1 or doc_id is null").limit(1).count()
-    if again:
-        docs = docs.withColumn("_folded", ascii_lower(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "_folded"]).drop("_folded")
-    return without(docs, gone.filter("not kept").select("doc_id"), "doc_id")
+    """docs, all columns, without the copies that do not stay: exactly one row of each text. Rows are told apart by id and
+    text, so an id with two texts loses neither, a null id goes like any other, and of rows that repeat both one stays."""
+    rows = exact_dedup(docs).select(row_key("doc_id", F.unhex("text_sha256")).alias("_row_key"), "kept")
+    decided = stored(rows.groupBy("_row_key").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).filter("n > 1 or not kept"), "decided")
+    folded = F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8")
+    keyed = docs.withColumn("_row_key", row_key("doc_id", F.unhex(F.sha2(folded, 256))))
+    repeated = decided.filter("kept").select("_row_key")
+    once = without(keyed, decided.select("_row_key"), "_row_key")
+    if not repeated.isEmpty():
+        once = once.unionByName(semi(keyed, repeated, "_row_key").dropDuplicates(["_row_key"]))
+    return once.drop("_row_key")
