@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscan.llm import exact_dedup, ngram_join
 from folioscan.llm.components import components, local_components
@@ -64,6 +65,53 @@ def test_exact_dedup_edges(edge, empty):
     assert kept.columns == edge.columns and kept.filter("doc_id = 11").count() == 1 and kept.filter("doc_id = 4").count() == 0
 
 
+#: Ids with two texts, null ids, rows that repeat both.
+SHARED_IDS = [(11, "a"), (11, "b"), (20, "b"), (None, "b"), (None, "c"), (30, "c"), (40, "d"), (40, "d"), (None, "e"), (None, "e"), (None, "f"), (50, None), (51, "")]
+
+
+def test_deduplicated_keeps_exactly_one_row_of_each_text(spark):
+    docs = spark.createDataFrame(SHARED_IDS, "doc_id long, text string").withColumn("kept", F.lit("mine"))
+    got = exact_dedup.deduplicated(docs)
+    assert got.columns == docs.columns
+    order = lambda r: (r[1] or "", r[0] or 0)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == [(51, ""), (11, "a"), (20, "b"), (30, "c"), (40, "d"), (None, "e"), (None, "f")]
+
+
+def test_one_of_each_keeps_exactly_one_row_of_each_component(spark):
+    """An id whose other text is unlike stays with it; null ids and repeated rows go like any other."""
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    rows = [(3, text), (7, near), (7, other), (None, near), (None, text + " y"), (9, "one"), (9, "one"), (None, "two"), (None, "two"), (None, "three four"), (12, ""), (13, None)]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(3, text), (7, other), (9, "one"), (None, "two"), (None, "three four"), (12, ""), (13, None)]))
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_of_few_letters_stay_apart(spark):
+    for n in (1024, 4096):
+        x, y = thue_morse(n), thue_morse(n, "ba")
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(spark.createDataFrame([(1, x), (2, y), (3, x)], "doc_id long, text string")).collect()}
+        assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("rows,shingles", [(4096, 4_000_000), (9, 300)])
+def test_ngram_join_with_a_shingle_in_all_sets(spark, monkeypatch, rows, shingles):
+    """Every set holds the same shingles and little else, so that prefixes meet there: groups fuse although few link."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", shingles)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(12)]
+    data = []
+    for k in range(60):
+        own = [f"o{rng.randrange(6)}" for _ in range(rng.randint(0, 6))]
+        data.append((k, " ".join(common[: rng.randint(6, 12)] + own)))
+    got = ngram_join.ngram_join(spark.createDataFrame(data, "doc_id long, text string").repartition(3), 5, 80).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_groups(data, 5, 80))
+
+
 def test_ngram_join_matches_brute_force_on_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries()["op1_ngram_jaccard_join"](spark, sf).collect()
@@ -99,9 +147,16 @@ def test_ngram_join_edges(edge, empty):
 
 
 def test_tokens_code_round_trip():
-    v = np.sort(np.random.default_rng(2).integers(0, 1 << 34, 3000, dtype=np.uint64))
-    low = (v & np.uint64(0xFFFF)).astype("<u2").tobytes()
-    assert ngram_join.decode_tokens(ngram_join.code_tokens(v, 34), low).tolist() == v.tolist()
+    for width in (53, 44, 36):
+        v = np.sort(np.random.default_rng(2).integers(0, 1 << width, 3000, dtype=np.uint64))
+        assert ngram_join.decode_tokens(ngram_join.code_tokens(v, width), ngram_join.low_bytes(v)).tolist() == v.tolist()
+
+
+def test_exchange_grows_with_the_input():
+    """Owners and chunks grow together: a message keeps its shingles, and owners hold no more than the root needs."""
+    for shingles in (10**6, 10**8, 10**11, 16 * 10**12):
+        bits, chunk = ngram_join.exchange_sizes(shingles)
+        assert chunk >> bits >= ngram_join.MESSAGE / 4 and shingles >> bits <= 4 * max(ngram_join.OWNER_SHINGLES, 2 * chunk)
 
 
 def test_components(spark):
