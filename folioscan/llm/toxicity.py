@@ -10,15 +10,20 @@ Learning: words and word beginnings (3 to 6 letters) that occur in toxic rather
 insults: those in a share STRONG of the toxic texts, and more, greedily, so that every toxic text is covered by COVER
 of them where it can be. Of texts that share their least long word by hash (near copies mostly do) one is learnt
 from, so that the words of an often copied text prove nothing. Then the events' weights are fitted around their prior.
-Both use TRAIN_DOCS labelled texts of each label at most in expectation, chosen by a hash of the id.
+Both use TRAIN_DOCS toxic and twice as many clean labelled ids at most in expectation, chosen by a hash of the id
+before texts are joined. Threats, targets, negations and verbs of report are fixed lists: they are closed classes,
+mostly of function words, which clean texts hold as often, so labels of texts cannot teach them; what the lists
+lack of threats is learnt as insults are.
 
 Defined results: null and empty texts and texts without a matched clause have the base score; without labels the
-fixed words and prior weights stand; repeated rows are scored alike; an empty table gives an empty result;
+fixed words and prior weights stand; repeated rows are scored alike; a very long clause costs time in proportion to
+its words and no more memory than a short one; an empty table gives an empty result; other columns are ignored, and
 labels, lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,6 +50,7 @@ FIXED = {
     REPORT: "said says wrote quoted called according reported sagte schrieb zitierte dit écrit selon dijo escribió según",
 }
 SCOPE = 3
+_RUN = re.compile(f"{OTHER}{{{SCOPE + 1},}}")
 _MARKS = np.zeros(0x110000, bool)
 _MARKS[[ord(c) for c in ".!?;:,\n()\"…"]] = True
 
@@ -86,24 +92,34 @@ _GRAMMAR = grammar()
 _TABLE = _GRAMMAR.by_input()
 
 
-@lru_cache(200_000)
-def read_clause(classes: str) -> tuple[int, ...]:
-    """Counts of EVENTS on the least path of a clause."""
-    front = {_GRAMMAR.start: (0.0, ())}
+#: Clauses up to so many classes are remembered, so many of them.
+SHORT_CLAUSE, CLAUSES = 48, 100_000
+_NO_EVENTS = (0,) * len(EVENTS)
+
+
+def _least_path(classes: str) -> tuple[int, ...]:
+    """Counts of EVENTS on the least path of a clause: one pass over it, with a weight and counts for each state."""
+    front = {_GRAMMAR.start: (0.0, _NO_EVENTS)}
     for c in classes:
         new: dict = {}
         for state, (weight, events) in front.items():
             for out, w, then in _TABLE.get(state, {}).get(c, ()):
                 if then not in new or weight + w < new[then][0]:
-                    new[then] = (weight + w, events if out == EPSILON else (*events, out))
+                    new[then] = (weight + w, events if out == EPSILON else (*events[:out], events[out] + 1, *events[out + 1 :]))
         front = new
-    _, events = min((w + _GRAMMAR.finals[s], e) for s, (w, e) in front.items() if s in _GRAMMAR.finals)
-    return tuple(events.count(k) for k in range(len(EVENTS)))
+    return min((w + _GRAMMAR.finals[s], e) for s, (w, e) in front.items() if s in _GRAMMAR.finals)[1]
+
+
+_remembered = lru_cache(CLAUSES)(_least_path)
+
+
+def read_clause(classes: str) -> tuple[int, ...]:
+    return _remembered(classes) if len(classes) <= SHORT_CLAUSE else _least_path(classes)
 
 
 def _features(words: letters.Words, which: np.ndarray) -> list[np.ndarray]:
     """Hashes of words and of their beginnings; 0 where a word is not longer than that."""
-    out = [words.spans(words.start[which], words.length[which])]
+    out = [words.hashes()[which]]
     for n in PREFIXES:
         long = words.length[which] > n
         h = np.zeros(len(which), np.uint64)
@@ -154,10 +170,8 @@ class Model:
                 clause = marks[words.start] + words.doc  # grows at every mark and every text
                 first, last = np.searchsorted(clause, clause[hot]), np.searchsorted(clause, clause[hot], "right")
                 for a, b in sorted(set(zip(first.tolist(), last.tolist()))):
-                    text = "".join(classes[a:b])
-                    while OTHER * (SCOPE + 1) in text:  # longer runs make no difference
-                        text = text.replace(OTHER * (SCOPE + 1), OTHER * SCOPE)
-                    count[words.doc[a]] += read_clause(text)
+                    # longer runs of others make no difference
+                    count[words.doc[a]] += read_clause(_RUN.sub(OTHER * SCOPE, "".join(classes[a:b])))
             found.append(count)
         return np.concatenate(found)
 
@@ -223,14 +237,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarra
     return w
 
 
-def fit(taught: DataFrame) -> Model:
-    """The model of rows (doc_id, text, toxic)."""
-    sizes = {r["toxic"]: r["count"] for r in taught.groupBy("toxic").count().collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        return Model(np.zeros(0, np.uint64))
+def sampled(labels: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """Of labels (doc_id, toxic) those that are learnt from, and the share of each label that they are."""
+    sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = {t: min(1.0, TRAIN_DOCS * (2 - t) / n) for t, n in sizes.items()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    some = stored(taught.filter(place < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20)) + 1).otherwise(int(share[0] * (1 << 20)) + 1)), "toxic-sample")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    below = {t: int(s * (1 << 40)) for t, s in share.items()}
+    return labels.filter(place < F.when(F.col("toxic") == 1, F.lit(below.get(1, 0))).otherwise(F.lit(below.get(0, 0)))), share
+
+
+def fit(taught: DataFrame, share: dict[int, float]) -> Model:
+    """The model of rows (doc_id, text, toxic), drawn by the shares of their labels."""
+    if not share.get(1) or not share.get(0):
+        return Model(np.zeros(0, np.uint64))
+    some = stored(taught, "toxic-sample")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
     family = F.coalesce(F.array_min(F.transform(words, lambda w: F.xxhash64(w))), F.xxhash64("text"))
     some = stored(some.withColumn("family", family).dropDuplicates(["family", "toxic"]), "toxic-families").select("text", "toxic")
@@ -276,9 +296,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, t
     spark = tuned(docs.sparkSession)
     condition = fold("doc_id", 5) != 0 if train is None else train
     known = labels.filter(condition & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
-    small = known.limit(1_000_001).count() <= 1_000_000
-    taught = docs.select("doc_id", "text").join(F.broadcast(known) if small else known, "doc_id")
-    model = spark.sparkContext.broadcast(fit(taught))
+    known, share = sampled(known)
+    # 3 * TRAIN_DOCS labels in expectation at any size; texts of other documents stay where they are
+    taught = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    model = spark.sparkContext.broadcast(fit(taught, share))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
