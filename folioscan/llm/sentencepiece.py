@@ -1,17 +1,20 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-Three machines are compiled from a model: the normaliser (a space becomes the mark U+2581, one of which is put
-before the text), the pieces with byte fallback (a character that is no piece becomes its bytes), and a pair
-acceptor. Their composition with an input is searched for its shortest path in the tropical semiring, each piece
-weighing one.
+Two transducers are compiled from a model and composed once: the normaliser (a mark U+2581 before the text and for
+each space) and the lexicon of pieces (a trie; behind a piece an empty move emits it at weight 1; any character that
+begins no piece is read as its bytes at weight BYTE_WEIGHT). With each input the result is composed, and with a
+pair acceptor, state by state (wfst.Segmenter), and the shortest path in the tropical semiring is taken: the fewest
+pieces, bytes last.
 
 The model is a byte-pair one: its encoding comes from merges in the order of scores and is not the path of the best
 summed score. What makes the shortest path right is the pair acceptor: it admits a piece after another only if
 merging the two's characters from the start ends in just these two. A sequence whose neighbours are all admitted
-is the merges' result, so exactly one path is left, and every prefix has exactly one, which the search follows.
+is the merges' result, so at most one path is left to each place; the walk keeps several where a model has them.
 
-Nulls and empty texts have no pieces. Ids decode to the text they came from, but that the mark itself, in a text,
-decodes to a space. Texts are encoded whole; words are remembered in tables of bounded size.
+Defined results: nulls and empty texts have no pieces; repeated rows are encoded alike; ties between paths go to the
+lesser ids; an empty table gives an empty result; other columns are ignored. Ids decode to the text they came from, but
+that the mark itself, in a text, decodes to a space. Texts are encoded whole, in memory that grows with the longest
+run without a space; words are remembered in tables of bounded size.
 """
 
 from __future__ import annotations
@@ -26,22 +29,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import tuned
-from .wfst import EPSILON, Wfst
+from .wfst import EPSILON, PASS, Segmenter, Wfst, compose, renumbered
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a task remembers.
 WORDS, PAIRS = 800_000, 500_000
 #: What stands before the first piece, and bytes in place of a piece.
-START, BYTES = 1 << 31, (1 << 31) + 1
-_CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+START, BYTES = -1, -2
+#: The weight of a character in bytes, beyond that of any sequence of pieces for it.
+BYTE_WEIGHT = 64.0
+_CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
 
 
 def normaliser() -> Wfst:
-    """Characters -> characters: a mark first, and marks for spaces. Other characters pass (label None)."""
+    """Characters -> characters: a mark first, and marks for spaces. Other characters pass."""
     out = Wfst("begin", finals={"text": 0.0})
     out.add("begin", EPSILON, MARK, 0.0, "text")
     out.add("text", " ", MARK, 0.0, "text")
-    out.add("text", None, None, 0.0, "text")
+    out.add("text", PASS, PASS, 0.0, "text")
+    return out
+
+
+def lexicon(pieces: dict[str, int]) -> Wfst:
+    """Characters -> ids of pieces put one after another, or BYTES for a character that begins none. States are the
+    beginnings of pieces."""
+    out = Wfst("", finals={"": 0.0})
+    for begin in {p[:k] for p in pieces for k in range(1, len(p) + 1)}:
+        out.add(begin[:-1], begin[-1], EPSILON, 0.0, begin)
+    for piece, i in pieces.items():
+        out.add(piece, EPSILON, i, 1.0, "")
+    out.add("", PASS, BYTES, BYTE_WEIGHT, "")
     return out
 
 
@@ -64,12 +81,13 @@ class Model:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.pieces, self.byte_ids = pieces, byte_ids
         self.names = {i: p for p, (i, _) in pieces.items()}
-        #: Every beginning of a piece: the id if it is a piece itself, else -1.
-        self.trie = {p[:k]: -1 for p in pieces for k in range(1, len(p))} | {p: i for p, (i, _) in pieces.items()}
-        self.mark_table = {ord(label): out for label, out, *_ in normaliser().arcs["text"] if label}
+        made = compose(normaliser(), lexicon({p: i for p, (i, _) in pieces.items()}))
+        numbers = {made.start: 0, ("text", ""): 1}
+        self.machine = Segmenter(renumbered(made, numbers), 1)
         self.inner = any(MARK in p.lstrip(MARK) for p in pieces)
-        self.pairs: dict[int, bool] = {}
-        self.spaced, self.bare = _Words(self, MARK), _Words(self, "")
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
+        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
     @staticmethod
@@ -93,59 +111,43 @@ class Model:
 
     def admits(self, a: int, b: int) -> bool:
         """The pair acceptor, on ids; START stands before the first piece."""
-        known = self.pairs.get(a << 32 | b)
+        known = self.pairs.get(a, {}).get(b)
         if known is None:
             left, right = self.names.get(a, ""), self.names[b]
             known = self.merge(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) < PAIRS:
-                self.pairs[a << 32 | b] = known
+            if self.n_pairs < PAIRS:
+                self.n_pairs += 1
+                self.pairs.setdefault(a, {})[b] = known
         return known
 
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of the shortest path through the composition with a normalised chunk. A state is a position and the piece
-        before it; of each position one state is alive, so the search is one pass over positions and the pieces that
-        begin there."""
-        trie, pairs, admits, size = self.trie, self.pairs, self.admits, len(chunk)
-        last: list[int | None] = [None] * (size + 1)
-        begin = [0] * (size + 1)
-        last[0] = START
-        for i in range(size):
-            before = last[i]
-            for j in range(i + 1, size + 1):
-                piece = trie.get(chunk[i:j])
-                if piece is None:
-                    break
-                if piece >= 0 and last[j] is None:
-                    ok = pairs.get(before << 32 | piece)
-                    if ok or ok is None and admits(before, piece):
-                        last[j], begin[j] = piece, i
-            if last[i + 1] is None:  # no piece: the character's bytes, and the merges start anew behind them
-                last[i + 1], begin[i + 1] = BYTES, i
-        out, end = [], size
-        while end:
-            i = begin[end]
-            out.append([last[end]] if last[end] != BYTES else [self.byte_ids[b] for b in chunk[i:end].encode()])
-            end = i
-        return [k for ids in reversed(out) for k in ids]
+    def segment(self, chunk, opening: bool = False) -> list[int]:
+        """Ids of the shortest path of a chunk of raw text; opening: the normaliser is at its beginning, so the empty move
+        that makes the first mark is taken before the chunk."""
+        labels = [EPSILON, *chunk] if opening else chunk
+        machine, out = self.machine, []
+        for entry, i, j in machine.shortest(labels, machine.start if opening else machine.home, START, BYTES, self.pairs, self.admits):
+            out += [entry] if entry != BYTES else [self.byte_ids[b] for c in labels[i:j] for b in (MARK if c in (" ", EPSILON) else c).encode()]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """The ids of a text, as unsigned 32-bit integers."""
+        """The ids of a text, as unsigned 32-bit integers. Where no piece holds a mark behind another character, no piece
+        spans the begin of a word, so words are encoded by themselves."""
         if not text:
             return np.zeros(0, "<u4")
         if self.inner:
-            return np.array(self.segment(MARK + text.translate(self.mark_table)), "<u4")
+            return np.array(self.segment(text, True), "<u4")
         out, spaced, bare = [], self.spaced, self.bare
-        table = spaced  # the mark that the normaliser puts first
         for k, line in enumerate(text.split("\n")):
             if k:
                 out.append(bare["\n"])
-                table = bare
             words = line.split(" ")
             if "" in words or MARK in line:  # runs of marks are pieces of their own
-                chunks = _CHUNK.findall(("" if k else MARK) + line.translate(self.mark_table))
-                out += [bare[c] for c in chunks]
+                chunks = _CHUNK.findall(line)
+                if not k:
+                    out.append(np.array(self.segment(chunks[0] if chunks else "", True), "<u4").tobytes())
+                out += [bare[c] for c in (chunks if k else chunks[1:])]
             else:
-                out.append(table[words[0]])
+                out.append(bare[words[0]] if k else np.array(self.segment(words[0], True), "<u4").tobytes())
                 out += [spaced[w] for w in words[1:]]
         return np.frombuffer(b"".join(out), "<u4")
 

@@ -6,8 +6,9 @@ import heapq
 from collections.abc import Hashable, Iterable
 from dataclasses import dataclass, field
 
-#: The empty label.
-EPSILON = ""
+#: The empty label, and the one that stands for every label that its state has no other arc for; as an output it is the
+#: label that was read.
+EPSILON, PASS = "", None
 
 
 @dataclass
@@ -44,7 +45,8 @@ def linear(labels: Iterable) -> Wfst:
 
 def compose(a: Wfst, b: Wfst) -> Wfst:
     """a, then b on its output. Only states that can be reached are built; paths that differ in the order of empty
-    moves alone have equal weights, which an idempotent semiring allows."""
+    moves alone have equal weights, which an idempotent semiring allows. An arc of a that passes its label on meets all
+    of b's arcs but those of labels that a's state names."""
     out, table = Wfst((a.start, b.start)), b.by_input()
     todo, seen = [out.start], {out.start}
     while todo:
@@ -52,8 +54,11 @@ def compose(a: Wfst, b: Wfst) -> Wfst:
         if p in a.finals and q in b.finals:
             out.finals[state] = a.finals[p] + b.finals[q]
         moves = [(EPSILON, o, w, (p, then)) for o, w, then in table.get(q, {}).get(EPSILON, ())]
+        named = {arc[0] for arc in a.arcs.get(p, ())}
         for label, mid, weight, then in a.arcs.get(p, ()):
-            if mid == EPSILON:
+            if label is PASS and mid is PASS:
+                moves += [(x, o, weight + w, (then, r)) for x, found in table.get(q, {}).items() if x is PASS or x != EPSILON and x not in named for o, w, r in found]
+            elif mid == EPSILON:
                 moves.append((label, EPSILON, weight, (then, q)))
             else:
                 moves += [(label, o, weight + w, (then, r)) for o, w, r in table.get(q, {}).get(mid, ())]
@@ -65,10 +70,10 @@ def compose(a: Wfst, b: Wfst) -> Wfst:
     return out
 
 
-def renumbered(a: Wfst) -> Wfst:
-    """The same transducer with states 0, 1, ..."""
-    name: dict = {a.start: 0}
-    out = Wfst()
+def renumbered(a: Wfst, names: dict | None = None) -> Wfst:
+    """The same transducer with states 0, 1, ...; names: numbers that are given."""
+    name = dict(names or {a.start: 0})
+    out = Wfst(name[a.start])
     for s, arcs in a.arcs.items():
         for label, o, w, then in arcs:
             out.add(name.setdefault(s, len(name)), label, o, w, name.setdefault(then, len(name)))
@@ -76,6 +81,85 @@ def renumbered(a: Wfst) -> Wfst:
     return out
 
 
+class Segmenter:
+    """A transducer that reads one entry of a lexicon after another, as tables: behind each entry an empty move emits its
+    name at the entry's weight and leads back to the state home; the arc PASS of home reads any other label as OTHER."""
+
+    def __init__(self, a: Wfst, home: int):
+        size = max([a.start, home, *a.arcs, *(then for arcs in a.arcs.values() for *_, then in arcs)]) + 1
+        self.start, self.home, self.other = a.start, home, float("inf")
+        self.step: list[dict] = [{} for _ in range(size)]
+        self.ends: list[tuple | None] = [None] * size
+        for state, arcs in a.arcs.items():
+            for label, out, weight, then in arcs:
+                if label is PASS:
+                    self.other = weight
+                elif label == EPSILON and out != EPSILON:
+                    self.ends[state] = (out, weight)
+                else:
+                    self.step[state][label] = then
+
+    def shortest(self, labels, start: int, before: int, other: int, pairs: dict, admits) -> list[tuple[int, int, int]]:
+        """The least path through linear(labels), this transducer and a pair acceptor, as (entry, begin, end).
+
+        The composition is walked in the order of places; its states between entries are (place, last entry), and of each the
+        least weight and where it came from are kept. pairs and admits are the acceptor: which entries may follow
+        another, as far as known, and by asking. before stands before the first entry."""
+        step, ends, home, size = self.step, self.ends, self.home, len(labels)
+        last: list[int | None] = [None] * (size + 1)
+        weight, begin = [0.0] * (size + 1), [0] * (size + 1)
+        back: list[int | None] = [None] * (size + 1)
+        more: dict[int, list[tuple[float, int, int, int]]] = {}  # further states of a place, where there are any
+        last[0] = before
+
+        def rival(at: int, entry: int, total: float, i: int, of: int) -> None:
+            """A path to a place that may have others: the lesser of the same state, or a state more."""
+            if last[at] is None:
+                last[at], weight[at], begin[at], back[at] = entry, total, i, of
+            elif entry == last[at]:
+                if total < weight[at]:
+                    weight[at], begin[at], back[at] = total, i, of
+            else:
+                more[at] = [*(x for x in more.get(at, ()) if x[1] != entry), min([*(x for x in more.get(at, ()) if x[1] == entry), (total, entry, i, of)])]
+
+        none: dict = {}
+        for i in range(size):
+            state, of, total = start if i == 0 else home, last[i], weight[i]
+            if of is None:
+                continue
+            known, rest = pairs.get(of, none), more.get(i, ()) if more else ()
+            for j in range(i, size):
+                state = step[state].get(labels[j])
+                if state is None:
+                    break
+                end = ends[state]
+                if end is None:
+                    continue
+                entry, cost = end
+                ok = known.get(entry)
+                if ok or ok is None and admits(of, entry):
+                    if last[j + 1] is None:
+                        last[j + 1], weight[j + 1], begin[j + 1], back[j + 1] = entry, total + cost, i, of
+                    else:
+                        rival(j + 1, entry, total + cost, i, of)
+                for extra, entry_of, _, _ in rest:
+                    if admits(entry_of, entry):
+                        rival(j + 1, entry, extra + cost, i, entry_of)
+            if labels[i] not in step[home] and labels[i] != EPSILON or last[i + 1] is None:
+                for extra, entry_of in [(total, of), *((x[0], x[1]) for x in rest)]:
+                    rival(i + 1, other, extra + self.other, i, entry_of)
+        out, place = [], size
+        _, entry = min([(weight[size], last[size]), *((x[0], x[1]) for x in more.get(size, ()))])
+        while place:
+            if entry == last[place]:
+                i, of = begin[place], back[place]
+            else:
+                i, of = next((x[2], x[3]) for x in more[place] if x[1] == entry)
+            out.append((entry, i, place))
+            place, entry = i, of
+        return out[::-1]
+
+
 def shortest_path(a: Wfst) -> tuple[float, list] | None:
     """Weight and outputs of the least path, weights being non-negative; None without a path."""
     best, heap, n = {a.start: 0.0}, [(0.0, 0, a.start, None)], 0
