@@ -79,6 +79,8 @@ class Model:
     """pieces: piece -> (id, score). byte_ids: the 256 ids of byte pieces."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
+        if MARK not in pieces:
+            raise ValueError("a model needs a piece for the mark")
         self.pieces, self.byte_ids = pieces, byte_ids
         self.names = {i: p for p, (i, _) in pieces.items()}
         made = compose(normaliser(), lexicon({p: i for p, (i, _) in pieces.items()}))
