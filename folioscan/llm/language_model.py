@@ -6,16 +6,18 @@ of the next symbol after the two before it, and within a class a token's share i
 for all unseen ones, so that probabilities of tokens add up to one. Both the short list and the classes grow with the
 cube root of the vocabulary, from SHORT and CLASSES (see symbol_counts()).
 
-Training is by noise-contrastive estimation in numpy. A pass over TRAIN_DOCS texts in expectation (chosen by a hash of
-the id) gives all tasks the same beginning; then, EPOCHS times, every task goes through all training texts of its
-partition and the tasks' parameters are averaged by their tokens. Scoring takes matrix products in batches for the
-normalisers of contexts, which are kept while a table of them is small, and a row-wise product for what follows.
+Training is by noise-contrastive estimation in numpy. All tasks begin with the same random parameters; EPOCHS times,
+every task goes through all training texts of its partition, and the tasks' parameters are averaged by their tokens,
+in pieces, so that neither the driver nor a task sees texts or more than a piece of each task's parameters. The
+normaliser of a context is the sum over symbols of a product of one factor for each of its two places: a matrix product
+gives those of all contexts, while a table of them is small, else those of a batch.
 
 Counts of the TOP commonest tokens are broadcast (the bound is on their number); rarer tokens of a text are joined
 with the counts by hash.
 
 Defined results: null and empty texts are one end; without any training row nothing is known and symbols are equally
-likely; repeated rows are separate texts; an empty table gives an empty result; only doc_id and text are read.
+likely; repeated rows are separate texts; a very long text is read whole, in memory that grows with the longest; an
+empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from .common import dropped, fold, stored, tuned
 SHORT, CLASSES, TOP = 768, 256, 1 << 18
 #: Distinct words up to which SHORT and CLASSES hold, and the low bits of a key that have its class.
 LEAST_WORDS, CLASS_BITS = 400_000, 16
-TRAIN_DOCS, WIDTH, NOISE, BATCH, EPOCHS, RATE = 3_000, 32, 64, 1024, 3, 0.1
+WIDTH, NOISE, BATCH, EPOCHS, RATE = 32, 64, 4096, 3, 0.3
 #: Pieces that parameters are averaged in, and normalisers that a worker keeps.
 PIECES, KEPT = 256, 1 << 24
 END = np.uint64(0x454E4400)
@@ -133,27 +135,29 @@ class Model:
         return one, two
 
     def log_normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The logarithm of the sum over all symbols, for each context; batched products for contexts not kept."""
+        """The logarithm of the sum over all symbols, for each context."""
         size = self.n_symbols + 1
-        at = one * size + two
         if size * size > KEPT:
-            new, place = np.unique(at, return_inverse=True)
-            return self._normalisers(new)[place]
+            at, place = np.unique(one * size + two, return_inverse=True)
+            return self._normalisers(at // size, at % size)[place]
         if self.normaliser is None:
-            self.normaliser = np.full(size * size, np.nan, np.float32)
-        new = np.unique(at[np.isnan(self.normaliser[at])])
-        self.normaliser[new] = self._normalisers(new)
-        return self.normaliser[at]
-
-    def _normalisers(self, contexts: np.ndarray) -> np.ndarray:
-        size, made = self.n_symbols + 1, np.zeros(len(contexts), np.float32)
-        step = max(64, min(2048, (1 << 22) // size))
-        for i in range(0, len(contexts), step):
-            part = contexts[i : i + step]
-            logits = (self.left[part // size] + self.right[part % size]) @ self.out.T + self.bias
-            most = logits.max(1)
-            logits -= most[:, None]
-            made[i : i + step] = most + np.log(np.exp(logits, out=logits).sum(1))
+            (a, most_a), (b, most_b) = self._factors(self.left, self.bias), self._factors(self.right, 0)
+            self.normaliser = np.log(a @ b.T) + most_a[:, None] + most_b
+        return self.normaliser[one, two]
+
+    def _factors(self, side: np.ndarray, bias) -> tuple[np.ndarray, np.ndarray]:
+        """What each context's place brings to every symbol, as a share of its largest, and the logarithm of that."""
+        logits = side @ self.out.T + bias
+        most = logits.max(1)
+        return np.exp(logits - most[:, None]), most
+
+    def _normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Those of the contexts of a batch."""
+        made, step = np.zeros(len(one), np.float32), max(64, (1 << 22) // self.n_symbols)
+        for i in range(0, len(one), step):
+            (x, a), (y, b) = np.unique(one[i : i + step], return_inverse=True), np.unique(two[i : i + step], return_inverse=True)
+            (f, most_f), (g, most_g) = self._factors(self.left[x], self.bias), self._factors(self.right[y], 0)
+            made[i : i + step] = np.log(np.einsum("ij,ij->i", f[a], g[b])) + most_f[a] + most_g[b]
         return made
 
     def log10_symbols(self, symbol: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -180,33 +184,46 @@ class Trainer:
         self.x, self.square = shaped[: len(self.x)], shaped[len(self.x) :]
 
     def _step(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows)
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        used, total = rows[first], np.add.reduceat(grad[order], first, axis=0)
-        square = self.square[which][used] + total**2
-        self.square[which][used] = square
-        self.x[which][used] += np.float32(RATE) * total / np.sqrt(square)
+        x, square = self.x[which], self.square[which]
+        cells = rows if grad.ndim == 1 else (rows[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+        total = np.bincount(cells, weights=grad.ravel(), minlength=x.size).astype(np.float32).reshape(x.shape)
+        square += total * total
+        total /= np.sqrt(square)
+        total *= np.float32(RATE)
+        x += total
 
     def go_through(self, model: Model, symbol: np.ndarray, doc: np.ndarray, rng: np.random.Generator) -> None:
         """Every symbol of some texts once, in random order."""
         offset, cumulative = np.log(NOISE * self.noise).astype(np.float32), np.cumsum(self.noise)
         one, two = model.contexts(symbol, doc)
         order = rng.permutation(len(symbol))
+
+        def doubt(logit: np.ndarray) -> np.ndarray:
+            """1 / (1 + exp(logit)) in place."""
+            np.minimum(logit, 60, out=logit)
+            np.exp(logit, out=logit)
+            logit += 1
+            return np.reciprocal(logit, out=logit)
+
         for i in range(0, len(order), BATCH):
             left, right, out, bias = self.x
             at = order[i : i + BATCH]
             a, b, w = one[at], two[at], symbol[at]
             fake = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), model.n_symbols - 1)
             q, true, false, size = left[a] + right[b], out[w], out[fake], np.float32(len(at))
-            real = 1 / (1 + np.exp(np.minimum(np.einsum("ij,ij->i", q, true) + bias[w] - offset[w], 60)))
-            lie = 1 / (1 + np.exp(np.minimum(-(q @ false.T + bias[fake] - offset[fake]), 60)))
-            grad_q = (real[:, None] * true - lie @ false) / size
+            real = doubt(np.einsum("ij,ij->i", q, true) + bias[w] - offset[w]) / size
+            lie = q @ -false.T
+            lie -= bias[fake] - offset[fake]
+            lie = doubt(lie)
+            lie /= size
+            grad = np.concatenate([real[:, None] * q, -(lie.T @ q)])
+            true *= real[:, None]
+            true -= lie @ false
             rows = np.concatenate([w, fake])
-            self._step(2, rows, np.concatenate([real[:, None] * q, -(lie.T @ q)]) / size)
-            self._step(3, rows, np.concatenate([real, -lie.sum(0)]) / size)
-            self._step(0, a, grad_q)
-            self._step(1, b, grad_q)
+            self._step(2, rows, grad)
+            self._step(3, rows, np.concatenate([real, -lie.sum(0)]))
+            self._step(0, a, true)
+            self._step(1, b, true)
 
     def finish(self, model: Model) -> None:
         model.left, model.right, model.out, model.bias = self.x
@@ -293,17 +310,16 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in K.blocks(batch.column(1)):
+            for i, j, data, offsets in K.blocks(batch.column(0)):
                 key, doc = tokens(data, offsets)
                 symbols = model.look_up(key)[1].astype(kind)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]) * symbols.itemsize
                 parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(symbols)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), parts.cast(pa.binary())], ["sample", "symbols"])
+                yield pa.RecordBatch.from_arrays([parts.cast(pa.binary())], ["symbols"])
 
-    share = min(1.0, TRAIN_DOCS / max(1, int(model.count[model.top == END].sum())))
-    sample = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    texts = stored(docs.select(sample.alias("sample"), "text").mapInArrow(sequences, "sample boolean, symbols binary"), "symbols")
-    trainer = train(model, [np.frombuffer(r["symbols"], kind) for r in texts.filter("sample").select("symbols").collect()])
+    texts = stored(docs.select("text").mapInArrow(sequences, "symbols binary"), "symbols")
+    trainer = Trainer(model)
+    trainer.finish(model)
     for k in range(EPOCHS if total else 0):
         averaged(texts, kind, model, trainer, k)
     dropped(texts)
