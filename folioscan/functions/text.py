@@ -14,6 +14,12 @@ ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 SPACE = r"(?U)\s+"
 
 
+def camel(name: str) -> str:
+    """issue_id -> issueId"""
+    head, *rest = name.split("_")
+    return head + "".join(r.capitalize() for r in rest)
+
+
 def _normal_form(form: str):
     @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:

@@ -122,6 +122,7 @@ def closure(edges: DataFrame, node: str, parent: str, most: int = 10_000) -> Dat
     """(node, ancestor, depth) over all chains of parents, each node its own ancestor at depth 0. Joins double the reach of
     every round, so a chain of depth d takes log2(d) joins; a cycle's members reach each once. most: the depth beyond which
     a chain must be a cycle."""
+    before = None
     links = edges.select(F.col(node).alias("node"), F.col(parent).alias("ancestor")).filter("ancestor is not null")
     jump, reach, step = links.select("node", "ancestor", F.lit(1).alias("depth")), None, 1
     nodes = edges.select(F.col(node).alias("node")).distinct()
@@ -131,8 +132,10 @@ def closure(edges: DataFrame, node: str, parent: str, most: int = 10_000) -> Dat
         reach = staged(reach.union(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")), "reach")
         jump = staged(jump.alias("a").join(jump.alias("b"), F.col("a.ancestor") == F.col("b.node")).select("a.node", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")), "jump")
         step *= 2
-        if jump.isEmpty():
+        size = reach.count()
+        if jump.isEmpty() or size == before:  # on a cycle chains go on, but reach nothing new
             break
+        before = size
     return reach
 
 
@@ -140,15 +143,16 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, node: str, needs: str
     """nodes with the round in which all that they need is done; null for nodes on a cycle, behind one, or with an unknown
     dependency. A round is a join; there are as many as the longest chain."""
     left = nodes.select(node).distinct()
-    edges = edges.select(node, needs).distinct()
+    open_ = edges.select(node, needs).distinct()
     done, level = None, 0
     while True:
-        open_ = edges if done is None else edges.join(done.select(F.col(node).alias(needs)), needs, "left_anti")
         ready = staged(left.join(open_.select(node).distinct(), node, "left_anti").withColumn("round", F.lit(level)), "ready")
         if ready.isEmpty():
             break
         done = ready if done is None else done.union(ready)
-        left = staged(left.join(ready, node, "left_anti"), "left")
+        # only what waits goes on: nodes that wait, and the edges to what is not done
+        open_ = staged(open_.join(ready.select(F.col(node).alias(needs)), needs, "left_anti"), "open")
+        left = left.join(ready, node, "left_anti")
         level += 1
     return nodes.join(done, node, "left") if done is not None else nodes.withColumn("round", F.lit(None).cast("int"))
 

@@ -530,9 +530,15 @@ def page_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", "page_no", "width", "height", "ink_ratio")
 
 
+def _all() -> None:
+    from . import catalog_parts  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(SQL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import is_iso_date, is_sha256, is_web_url, venue_key
+from folioscan.functions.text import camel, is_iso_date, is_sha256, is_web_url, venue_key
 
 LOC = "struct<part_order:int,part_ix:int,section_ix:int,table_ix:int,row_ix:int,cell_ix:int,para_ix:int,run_ix:int,rel:string>"
 SCHEMAS = {
@@ -29,8 +29,11 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def read_artifact(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """JSON lines of one kind of artifact."""
-    df = required(spark.read.schema(SCHEMAS[kind]).option("mode", "FAILFAST").json(path), REQUIRED[kind])
+    """JSON lines of one kind of artifact; names in camel case, as they are written, or as columns are called."""
+    fields = spark.createDataFrame([], SCHEMAS[kind]).schema.fields
+    both = ", ".join(dict.fromkeys(f"{name} {f.dataType.simpleString()}" for f in fields for name in (f.name, camel(f.name))))
+    rows = spark.read.schema(both).option("mode", "FAILFAST").json(path)
+    df = required(rows.select(*[(F.coalesce(f.name, camel(f.name)) if camel(f.name) != f.name else F.col(f.name)).alias(f.name) for f in fields]), REQUIRED[kind])
     if "source_sha256" in df.columns:
         bad = F.raise_error(F.concat(F.lit("not a SHA-256: "), "source_sha256")).cast("string")
         df = df.withColumn("source_sha256", F.when(is_sha256(F.col("source_sha256")), F.col("source_sha256")).otherwise(bad))

@@ -55,26 +55,26 @@ def para(sid: str, *content: str, props: str = "") -> str:
 def body(wrong: bool = False, columns: int = 2) -> str:
     """Front matter, three headings, body text with a bookmark, a link, a field and notes, an equation, an image, captions, a
     table."""
-    tag = "wrong-format" if wrong else "valid"
+    tag = "crooked" if wrong else "straight"
     rich = [
-        run("This fixture preserves a "), '<w:bookmarkStart w:id="1" w:name="Mark"/>', run("stable bookmark"), '<w:bookmarkEnd w:id="1"/>', run(", an external "), f'<w:hyperlink r:id="rIdLink">{run("link")}</w:hyperlink>', run(", a REF field ("),
-        '<w:r><w:fldChar w:fldCharType="begin"/></w:r>', '<w:r><w:instrText xml:space="preserve"> REF Mark \\h </w:instrText></w:r>', '<w:r><w:fldChar w:fldCharType="separate"/></w:r>', run("stable bookmark"),
-        '<w:r><w:fldChar w:fldCharType="end"/></w:r>', run("), a footnote"), '<w:r><w:footnoteReference w:id="1"/></w:r>', run(", and an endnote"), '<w:r><w:endnoteReference w:id="1"/></w:r>', run(f". Fixture tag: {tag}."),
+        run("Readers may follow the "), '<w:bookmarkStart w:id="1" w:name="Mark"/>', run("marked passage"), '<w:bookmarkEnd w:id="1"/>', run(", open some "), f'<w:hyperlink r:id="rIdLink">{run("web page")}</w:hyperlink>', run(", check where the field ("),
+        '<w:r><w:fldChar w:fldCharType="begin"/></w:r>', '<w:r><w:instrText xml:space="preserve"> REF Mark \\h </w:instrText></w:r>', '<w:r><w:fldChar w:fldCharType="separate"/></w:r>', run("marked passage"),
+        '<w:r><w:fldChar w:fldCharType="end"/></w:r>', run(") points, read a note below"), '<w:r><w:footnoteReference w:id="1"/></w:r>', run(", and one behind the text"), '<w:r><w:endnoteReference w:id="1"/></w:r>', run(f" of the {tag} copy."),
     ]
     loud = f"{fonts('Courier New')}<w:b/><w:sz w:val='28'/>" if wrong else ""
     cell_props = f"{fonts('Arial')}<w:sz w:val='24'/>" if wrong else ""
-    rows = [("Object", "Expected"), ("Paragraphs", "Stable"), ("Relationships", "Fixed IDs")]
+    rows = [("Beach", "Pebbles"), ("Northern", "Many"), ("Southern", "Hardly any")]
     cells = "".join("<w:tr>" + "".join(f'<w:tc><w:tcPr><w:tcW w:w="2600" w:type="dxa"/></w:tcPr>{para("TableText", run(t, cell_props + "<w:b/>" * (i == 0)))}</w:tc>' for t in r) + "</w:tr>" for i, r in enumerate(rows))
     page = '<w:pgSz w:w="16838" w:h="11906" w:orient="landscape"/><w:pgMar w:top="1440" w:right="1440" w:bottom="1440" w:left="1440" w:header="720" w:footer="720" w:gutter="0"/><w:cols w:equalWidth="1" w:num="1" w:space="720"/>' if wrong else (
         f'<w:pgSz w:w="12240" w:h="15840" w:orient="portrait"/><w:pgMar w:top="1080" w:right="720" w:bottom="1080" w:left="720" w:header="360" w:footer="360" w:gutter="0"/><w:cols w:equalWidth="1" w:num="{columns}" w:space="360"/>'
     )
     blocks = [
-        para("PaperTitle", run("A Deterministic Manuscript")), para("Authors", run("Alice Example and Bob Example")), para("Affiliation", run("Department of Reproducible Documents, Example University")),
-        para("AbstractText", run("Abstract—This synthetic manuscript exercises deterministic parsing without changing its content.")), para("Keywords", run("Index Terms—packages, parsing, fixtures.")), para("Heading1", run("I. INTRODUCTION")),
-        para("BodyText", *rich, props=f'{spacing(0, 240, 360)}<w:jc w:val="center"/>' if wrong else ""), para("Heading2", run("A. Deterministic Construction")),
-        para("BodyText", run("Each package uses fixed metadata, stable relationships, and a canonical entry order.", loud), props=f'{spacing(0, 360, 480)}<w:jc w:val="right"/>' if wrong else ""), para("Heading3", run("1) Package Contents")),
-        para("BodyText", run("The document contains paragraphs, a table, notes, a field, an image, and an equation.")), para("BodyText", "<m:oMath><m:r><m:t>E = mc²</m:t></m:r></m:oMath>", props='<w:jc w:val="center"/>'),
-        para("BodyText", '<w:r><w:drawing><wp:inline><wp:extent cx="914400" cy="914400"/></wp:inline></w:drawing></w:r>', props='<w:jc w:val="center"/>'), para("Caption", run("Fig. 1. A deterministic fixture image.")), para("Caption", run("TABLE I. FIXTURE CONTENT")),
+        para("PaperTitle", run("Counting Pebbles on Quiet Beaches")), para("Authors", run("Mira Lund, Tomas Reyes")), para("Affiliation", run("Harbour Institute for Shore Studies, Northport")),
+        para("AbstractText", run("Abstract—We count pebbles on four beaches through one winter and compare what the tides leave there.")), para("Keywords", run("Index Terms—pebbles, tides, winter.")), para("Heading1", run("I. INTRODUCTION")),
+        para("BodyText", *rich, props=f'{spacing(0, 240, 360)}<w:jc w:val="center"/>' if wrong else ""), para("Heading2", run("A. Where We Walked")),
+        para("BodyText", run("Every beach was walked twice a week, always at low water and from its northern end.", loud), props=f'{spacing(0, 360, 480)}<w:jc w:val="right"/>' if wrong else ""), para("Heading3", run("1) Tools Carried")),
+        para("BodyText", run("We carried a bucket, two sieves, a folding rule, some chalk, a lamp and a waterproof book.")), para("BodyText", "<m:oMath><m:r><m:t>E = mc²</m:t></m:r></m:oMath>", props='<w:jc w:val="center"/>'),
+        para("BodyText", '<w:r><w:drawing><wp:inline><wp:extent cx="914400" cy="914400"/></wp:inline></w:drawing></w:r>', props='<w:jc w:val="center"/>'), para("Caption", run("Fig. 1. The northern beach at low water.")), para("Caption", run("TABLE I. PEBBLES BY BEACH")),
         f'<w:tbl><w:tblPr><w:tblW w:w="0" w:type="auto"/><w:tblLayout w:type="fixed"/></w:tblPr><w:tblGrid><w:gridCol w:w="2600"/><w:gridCol w:w="2600"/></w:tblGrid>{cells}</w:tbl>', f"<w:sectPr>{page}</w:sectPr>",
     ]
     return f"<w:document {W}><w:body>{''.join(blocks)}</w:body></w:document>"
@@ -82,7 +82,7 @@ def body(wrong: bool = False, columns: int = 2) -> str:
 
 def package(document: str, style_sheet: str | None = None, **more: str | bytes) -> bytes:
     out = io.BytesIO()
-    notes = {f"word/{k}s.xml": f'<w:{k}s {W}><w:{k} w:id="-1"/><w:{k} w:id="0"/><w:{k} w:id="1"><w:p>{run(f"Fixed {k}.")}</w:p></w:{k}></w:{k}s>' for k in ("footnote", "endnote")}
+    notes = {f"word/{k}s.xml": f'<w:{k}s {W}><w:{k} w:id="-1"/><w:{k} w:id="0"/><w:{k} w:id="1"><w:p>{run(f"A short {k}.")}</w:p></w:{k}></w:{k}s>' for k in ("footnote", "endnote")}
     rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rIdLink" Type="hyperlink" Target="https://example.com/" TargetMode="External"/><Relationship Id="rIdImage" Type="image" Target="media/image1.png"/><Relationship Id="rIdNotes" Type="footnotes" Target="footnotes.xml"/></Relationships>'
     parts = {"[Content_Types].xml": "<Types/>", "word/document.xml": document, "word/_rels/document.xml.rels": rels, "word/media/image1.png": png([[0]])} | notes | more
     if style_sheet:

@@ -122,8 +122,8 @@ def test_ambiguous_template_pages(spark):
 
 
 def test_layout_policy(spark):
-    schema = "operation_id string, kind string, decision string, risk string, rollback string, depends_on array<string>, after_element_id string, section_ix int, columns int, gap_tw long, object_id string, strategy string"
-    rows = [("a", "SetSectionColumns", "Apply", "Low", "discardCandidateCopy", [], None, 1, 2, 360, None, None), ("b", "PreserveFullWidthObject", "Apply", "Low", "odd", ["a"], None, None, None, None, "t", "s"), ("c", "SetSectionColumns", "ReportOnly", "Blocked", "discardCandidateCopy", ["b"], None, 0, 9, 9000, None, None)]
+    schema = "doc_id long, operation_id string, kind string, decision string, risk string, rollback string, depends_on array<string>, after_element_id string, section_ix int, columns int, gap_tw long, object_id string, strategy string"
+    rows = [(1, "a", "SetSectionColumns", "Apply", "Low", "discardCandidateCopy", [], None, 1, 2, 360, None, None), (1, "b", "PreserveFullWidthObject", "Apply", "Low", "odd", ["a"], None, None, None, None, "t", "s"), (1, "c", "SetSectionColumns", "ReportOnly", "Blocked", "discardCandidateCopy", ["b"], None, 0, 9, 9000, None, None)]
     ops = planning.layout_operations(spark.createDataFrame(rows, schema), seen=True)
     got = {r["operation_id"]: (r["decision"], r["risk"], r["level"], r["rollback"]) for r in ops.collect()}
     assert got == {"a": ("Apply", "Medium", "Review", "discardCandidateCopy"), "b": ("Preserve", "High", "Experimental", "discardCandidateCopy"), "c": ("ReportOnly", "Blocked", "Experimental", "discardCandidateCopy")}
