@@ -44,7 +44,7 @@ from .components import components, local_components
 #: Counters of the sketch (a power of two) and the rows that carry it.
 SKETCH, SLICES = 1 << 18, 64
 #: Largest group or block that one task compares, in documents and in shingles.
-GROUP_ROWS, GROUP_SHINGLES = 4096, 4_000_000
+GROUP_ROWS, GROUP_SHINGLES = 200, 1_000_000
 FAN = 16
 
 
