@@ -20,7 +20,9 @@ run without a space; words are remembered in tables of bounded size.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -38,6 +40,9 @@ WORDS, PAIRS = 800_000, 500_000
 START, BYTES = -1, -2
 #: The weight of a character in bytes, beyond that of any sequence of pieces for it.
 BYTE_WEIGHT = 64.0
+#: The type code of unsigned 32-bit integers, whose bytes are little-endian on the machines that this runs on.
+_WORD = "I"
+assert sys.byteorder == "little" and array(_WORD).itemsize == 4
 _CHUNK = re.compile(f"[ {MARK}]*[^ {MARK}\n]+|[ {MARK}]+|\n")
 
 
@@ -69,7 +74,7 @@ class _Words(dict):
         self.model, self.prefix = model, prefix
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.segment(self.prefix + word), "<u4").tobytes()
+        ids = array(_WORD, self.model.segment(self.prefix + word)).tobytes()
         if len(self) < WORDS:
             self[word] = ids
         return ids
@@ -146,10 +151,10 @@ class Model:
             if "" in words or MARK in line:  # runs of marks are pieces of their own
                 chunks = _CHUNK.findall(line)
                 if not k:
-                    out.append(np.array(self.segment(chunks[0] if chunks else "", True), "<u4").tobytes())
+                    out.append(array(_WORD, self.segment(chunks[0] if chunks else "", True)).tobytes())
                 out += [bare[c] for c in (chunks if k else chunks[1:])]
             else:
-                out.append(bare[words[0]] if k else np.array(self.segment(words[0], True), "<u4").tobytes())
+                out.append(bare[words[0]] if k else array(_WORD, self.segment(words[0], True)).tobytes())
                 out += [spaced[w] for w in words[1:]]
         return np.frombuffer(b"".join(out), "<u4")
 

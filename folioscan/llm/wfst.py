@@ -88,16 +88,20 @@ class Segmenter:
     def __init__(self, a: Wfst, home: int):
         size = max([a.start, home, *a.arcs, *(then for arcs in a.arcs.values() for *_, then in arcs)]) + 1
         self.start, self.home, self.other = a.start, home, float("inf")
+        #: state -> label -> (the state behind it, the entry that ends there, its weight)
         self.step: list[dict] = [{} for _ in range(size)]
-        self.ends: list[tuple | None] = [None] * size
+        ends: list[tuple] = [(None, 0.0)] * size
         for state, arcs in a.arcs.items():
             for label, out, weight, then in arcs:
                 if label is PASS:
                     self.other = weight
                 elif label == EPSILON and out != EPSILON:
-                    self.ends[state] = (out, weight)
+                    ends[state] = (out, weight)
                 else:
                     self.step[state][label] = then
+        for table in self.step:
+            for label, then in table.items():
+                table[label] = (then, *ends[then])
 
     def shortest(self, labels, start: int, before: int, other: int, pairs: dict, admits) -> list[tuple[int, int, int]]:
         """The least path through linear(labels), this transducer and a pair acceptor, as (entry, begin, end).
@@ -105,7 +109,8 @@ class Segmenter:
         The composition is walked in the order of places; its states between entries are (place, last entry), and of each the
         least weight and where it came from are kept. pairs and admits are the acceptor: which entries may follow
         another, as far as known, and by asking. before stands before the first entry."""
-        step, ends, home, size = self.step, self.ends, self.home, len(labels)
+        step, home, size = self.step, self.home, len(labels)
+        first = step[home]
         last: list[int | None] = [None] * (size + 1)
         weight, begin = [0.0] * (size + 1), [0] * (size + 1)
         back: list[int | None] = [None] * (size + 1)
@@ -129,13 +134,12 @@ class Segmenter:
                 continue
             known, rest = pairs.get(of, none), more.get(i, ()) if more else ()
             for j in range(i, size):
-                state = step[state].get(labels[j])
-                if state is None:
+                arc = step[state].get(labels[j])
+                if arc is None:
                     break
-                end = ends[state]
-                if end is None:
+                state, entry, cost = arc
+                if entry is None:
                     continue
-                entry, cost = end
                 ok = known.get(entry)
                 if ok or ok is None and admits(of, entry):
                     if last[j + 1] is None:
@@ -145,11 +149,16 @@ class Segmenter:
                 for extra, entry_of, _, _ in rest:
                     if admits(entry_of, entry):
                         rival(j + 1, entry, extra + cost, i, entry_of)
-            if labels[i] not in step[home] and labels[i] != EPSILON or last[i + 1] is None:
+            if last[i + 1] is None or labels[i] not in first and labels[i] != EPSILON:
                 for extra, entry_of in [(total, of), *((x[0], x[1]) for x in rest)]:
                     rival(i + 1, other, extra + self.other, i, entry_of)
-        out, place = [], size
-        _, entry = min([(weight[size], last[size]), *((x[0], x[1]) for x in more.get(size, ()))])
+        out, place, entry = [], size, last[size]
+        if not more:  # one state at each place, as a byte-pair model has
+            while place:
+                out.append((last[place], begin[place], place))
+                place = begin[place]
+            return out[::-1]
+        _, entry = min([(weight[size], entry), *((x[0], x[1]) for x in more.get(size, ()))])
         while place:
             if entry == last[place]:
                 i, of = begin[place], back[place]
