@@ -25,12 +25,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or the warehouse on a cluster
-    without that setting, or a temporary folder in local mode."""
+    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary folder in local mode, and an
+    error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        found = f"file://{tempfile.gettempdir()}/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints"
     return found.rstrip("/")
 
 
