@@ -34,7 +34,10 @@ def sql_pick(names: list, at: str) -> str:
     return "[" + ", ".join("NULL" if n is None else "'" + n.replace("'", "''") + "'" for n in names) + f"][{at} + 1]"
 
 
-K = F.col("p_partkey")
+def K() -> Column:
+    return F.col("p_partkey")
+
+
 _DATES, _URLS = ["2024-02-29", "2023-02-29", "2024-2-9", "x"], [None, "https://a.b/c", "ftp://a", "http://"]
 _SLUGS, _FILES = ["PageWidth", "Heading1", "FigureCaption"], ["a.docx", "A.DOTX", "a.doc", "docx"]
 _BACK, _TOUCH = ["discardCandidateCopy", "restoreSectionSnapshot", "undo"], ["PageWidth", "Bold", "ParagraphStyleId", "ColumnCount"]
@@ -49,15 +52,15 @@ def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scalars over text, keys and lengths."""
     name, brand = F.col("p_name"), F.col("p_brand")
     digest = F.sha2(name, 256)
-    parsed = locations.parse_element_id(F.concat(F.lit("element:main/section["), (K % 7).cast("string"), F.lit("]/paragraph["), K.cast("string"), F.lit("]")))
-    signature = F.when(K % 2 == 1, F.unhex(F.lit("504B0304AA"))).otherwise(F.lit("PKxx").cast("binary"))
+    parsed = locations.parse_element_id(F.concat(F.lit("element:main/section["), (K() % 7).cast("string"), F.lit("]/paragraph["), K().cast("string"), F.lit("]")))
+    signature = F.when(K() % 2 == 1, F.unhex(F.lit("504B0304AA"))).otherwise(F.lit("PKxx").cast("binary"))
     return read(spark, sf_dir, "part").select(
-        "p_partkey", T.normal_space(F.concat(F.lit("  "), name, F.lit(" \t "), brand, F.lit("\n"))).alias("spaced"), T.printable(F.concat(name, F.lit("\x01"), F.repeat(F.lit("x"), (K % 300).cast("int")))).alias("clean"),
-        T.is_sha256(F.when(K % 2 == 0, digest).otherwise(F.concat(F.lit("G"), F.substring(digest, 2, 63)))).alias("sha"), T.is_iso_date(pick(_DATES, K % 4)).alias("is_date"), T.is_web_url(pick(_URLS, K % 4)).alias("is_url"),
-        T.venue_key(F.concat(name, F.lit(" É"), brand)).alias("venue"), T.page_number(F.concat(F.lit("d-7/page-"), (K % 50 + 1).cast("string"), F.lit(".png"))).alias("page"), T.html_escape(F.concat(F.lit("<"), brand, F.lit("&\"'>"))).alias("html"),
-        rules.slug_column(pick(_SLUGS, K % 3)).alias("slug"), U.half_point_size((F.col("p_size") - 10).cast("string")).alias("half"), U.unit_interval((F.col("p_size") - 25) / F.lit(20.0)).cast("double").alias("unit"), P.has_zip_signature(signature).alias("zip"),
-        P.is_word_package(pick(_FILES, K % 4)).alias("word"), P.is_rollback(pick(_BACK, K % 3)).alias("undo"), P.is_layout_affecting(pick(_TOUCH, K % 4)).alias("moves"), parsed["section_ix"].alias("section_ix"), parsed["para_ix"].alias("para_ix"),
-        sinks.display(pick(_KEYS, K % 5)).alias("shown"),
+        "p_partkey", T.normal_space(F.concat(F.lit("  "), name, F.lit(" \t "), brand, F.lit("\n"))).alias("spaced"), T.printable(F.concat(name, F.lit("\x01"), F.repeat(F.lit("x"), (K() % 300).cast("int")))).alias("clean"),
+        T.is_sha256(F.when(K() % 2 == 0, digest).otherwise(F.concat(F.lit("G"), F.substring(digest, 2, 63)))).alias("sha"), T.is_iso_date(pick(_DATES, K() % 4)).alias("is_date"), T.is_web_url(pick(_URLS, K() % 4)).alias("is_url"),
+        T.venue_key(F.concat(name, F.lit(" É"), brand)).alias("venue"), T.page_number(F.concat(F.lit("d-7/page-"), (K() % 50 + 1).cast("string"), F.lit(".png"))).alias("page"), T.html_escape(F.concat(F.lit("<"), brand, F.lit("&\"'>"))).alias("html"),
+        rules.slug_column(pick(_SLUGS, K() % 3)).alias("slug"), U.half_point_size((F.col("p_size") - 10).cast("string")).alias("half"), U.unit_interval((F.col("p_size") - 25) / F.lit(20.0)).cast("double").alias("unit"), P.has_zip_signature(signature).alias("zip"),
+        P.is_word_package(pick(_FILES, K() % 4)).alias("word"), P.is_rollback(pick(_BACK, K() % 3)).alias("undo"), P.is_layout_affecting(pick(_TOUCH, K() % 4)).alias("moves"), parsed["section_ix"].alias("section_ix"), parsed["para_ix"].alias("para_ix"),
+        sinks.display(pick(_KEYS, K() % 5)).alias("shown"),
     )
 
 
@@ -70,7 +73,7 @@ _TARGETS, _PROPS, _EXPECTED = ["Body", "Page", "Nowhere"], ["FontSize", "Bold",
         UNION ALL SELECT rule_id, 'confidence' FROM r WHERE confidence < 0 OR confidence > 100 UNION ALL SELECT rule_id, 'target' FROM r WHERE target = 'Nowhere') GROUP BY ALL""")
 def rule_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invariants of rule packages."""
-    made = read(spark, sf_dir, "part").select(F.format_string("p%d", K % 20).alias("package_id"), F.format_string("r%d", K % 1500).alias("rule_id"), pick(_TARGETS, K % 3).alias("target"), pick(_PROPS, K % 3).alias("property"), pick(_EXPECTED, K % 4).alias("expected"), ((K % 6) * 0.25 - 0.25).alias("confidence"))
+    made = read(spark, sf_dir, "part").select(F.format_string("p%d", K() % 20).alias("package_id"), F.format_string("r%d", K() % 1500).alias("rule_id"), pick(_TARGETS, K() % 3).alias("target"), pick(_PROPS, K() % 3).alias("property"), pick(_EXPECTED, K() % 4).alias("expected"), ((K() % 6) * 0.25 - 0.25).alias("confidence"))
     return rules.rule_errors(made).groupBy("rule_id", "error").agg(F.count("*").alias("n"))
 
 
@@ -79,12 +82,12 @@ _DECIDED, _RISKS = ["Apply", "Apply", "ReportOnly"], ["Low", "Medium", "High", "
 
 
 def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = K % 64
-    needs = F.when((place > 0) & (place % 2 == 0), F.array(F.format_string("o%02d", F.floor(place / 2)))).when(K % 97 == 0, F.array(F.format_string("o%02d", place))).otherwise(F.array().cast("array<string>"))
+    place = K() % 64
+    needs = F.when((place > 0) & (place % 2 == 0), F.array(F.format_string("o%02d", F.floor(place / 2)))).when(K() % 97 == 0, F.array(F.format_string("o%02d", place))).otherwise(F.array().cast("array<string>"))
     return read(spark, sf_dir, "part").select(
-        F.floor(K / 64).alias("doc_id"), F.format_string("o%02d", place).alias("operation_id"), pick(_KINDS, K % 4).alias("kind"), pick(_DECIDED, K % 3).alias("decision"), pick(_RISKS, F.floor(K / 4) % 4).alias("risk"),
-        F.when(K % 5 != 0, F.lit("element:x")).alias("after_element_id"), (K % 6 - 1).cast("int").alias("section_ix"), (K % 7).cast("int").alias("columns"), ((K % 4) * 1000).alias("gap_tw"), F.when(K % 3 != 0, F.lit("t")).alias("object_id"), F.lit("keep").alias("strategy"),
-        F.when(K % 2 == 0, F.lit("preserveOriginalPackage")).otherwise("odd").alias("rollback"), needs.alias("depends_on"),
+        F.floor(K() / 64).alias("doc_id"), F.format_string("o%02d", place).alias("operation_id"), pick(_KINDS, K() % 4).alias("kind"), pick(_DECIDED, K() % 3).alias("decision"), pick(_RISKS, F.floor(K() / 4) % 4).alias("risk"),
+        F.when(K() % 5 != 0, F.lit("element:x")).alias("after_element_id"), (K() % 6 - 1).cast("int").alias("section_ix"), (K() % 7).cast("int").alias("columns"), ((K() % 4) * 1000).alias("gap_tw"), F.when(K() % 3 != 0, F.lit("t")).alias("object_id"), F.lit("keep").alias("strategy"),
+        F.when(K() % 2 == 0, F.lit("preserveOriginalPackage")).otherwise("odd").alias("rollback"), needs.alias("depends_on"),
     )
 
 
@@ -251,7 +254,7 @@ def repaired_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.floor(K / 64).alias("doc_id"), K.alias("k"), canonical_path(location(section_ix=F.lit(0), para_ix=K % 64)).alias("path"), F.col("p_size").cast("bigint").alias("size"))
+    return read(spark, sf_dir, "part").select(F.floor(K() / 64).alias("doc_id"), K().alias("k"), canonical_path(location(section_ix=F.lit(0), para_ix=K() % 64)).alias("path"), F.col("p_size").cast("bigint").alias("size"))
 
 
 @query("""SELECT p_partkey AS k, CAST(CASE WHEN p_partkey % 3 = 0 THEN 200 ELSE p_size END AS BIGINT) AS size_tw, CASE WHEN p_partkey % 4 = 0 THEN true END AS bold, CASE WHEN p_partkey % 5 = 0 THEN 'Times' ELSE 'Arial' END AS font,
@@ -325,7 +328,7 @@ _FOUND = ["WideTable", "MergedTable", "InlineDrawing", "FloatingDrawing", "Equat
 def layout_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that a narrower column endangers."""
     wide = F.col("p_size").cast("bigint") * 100
-    rows = read(spark, sf_dir, "part").select(F.floor(K / 64).alias("doc_id"), location(section_ix=F.lit(0), para_ix=K).alias("loc"), pick(_OBJECTS, K % 7).alias("object"), wide.alias("width_tw"), (wide * 635).alias("width_emu"))
+    rows = read(spark, sf_dir, "part").select(F.floor(K() / 64).alias("doc_id"), location(section_ix=F.lit(0), para_ix=K()).alias("loc"), pick(_OBJECTS, K() % 7).alias("object"), wide.alias("width_tw"), (wide * 635).alias("width_emu"))
     return layout.risks(rows, 2500).select("doc_id", canonical_path(F.col("loc")).alias("path"), "kind", "level", "finding_id")
 
 
@@ -459,10 +462,10 @@ def template_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules from the samples of templates: a rule for each value that is known."""
     size = F.col("p_size").cast("bigint")
     text = lambda c: c.cast("string")
-    runs = read(spark, sf_dir, "part").filter(K % 64 < 3)
-    fonts = F.struct(F.when(K % 2 == 0, text(F.lit("Arial"))).alias("font_ascii"), *[F.lit(None).cast("string").alias(f) for f in ("font_hansi", "font_ea", "font_cs")], size.alias("size_tw"), (size > 25).alias("bold"), F.lit(None).cast("boolean").alias("italic"))
-    para = F.struct(F.lit("Left").alias("align"), F.when(K % 3 == 0, "Auto").alias("spacing_kind"), F.when(K % 3 == 0, 240).cast("bigint").alias("spacing_value"), (size * 2).alias("before_tw"), *[F.lit(None).cast("bigint").alias(f) for f in ("after_tw", "first_line_tw")])
-    rows = runs.select(F.floor(K / 64).alias("doc_id"), pick(["Title", "Body", "TableText"], K % 64).alias("target"), F.format_string("p%d", K % 64).alias("path"), F.lit(None).cast("string").alias("style_id"), fonts.alias("effective"), para.alias("para"), F.lit(0.9).cast("decimal(3,2)").alias("confidence"), F.lit(False).alias("needs_confirmation"))
+    runs = read(spark, sf_dir, "part").filter(K() % 64 < 3)
+    fonts = F.struct(F.when(K() % 2 == 0, text(F.lit("Arial"))).alias("font_ascii"), *[F.lit(None).cast("string").alias(f) for f in ("font_hansi", "font_ea", "font_cs")], size.alias("size_tw"), (size > 25).alias("bold"), F.lit(None).cast("boolean").alias("italic"))
+    para = F.struct(F.lit("Left").alias("align"), F.when(K() % 3 == 0, "Auto").alias("spacing_kind"), F.when(K() % 3 == 0, 240).cast("bigint").alias("spacing_value"), (size * 2).alias("before_tw"), *[F.lit(None).cast("bigint").alias(f) for f in ("after_tw", "first_line_tw")])
+    rows = runs.select(F.floor(K() / 64).alias("doc_id"), pick(["Title", "Body", "TableText"], K() % 64).alias("target"), F.format_string("p%d", K() % 64).alias("path"), F.lit(None).cast("string").alias("style_id"), fonts.alias("effective"), para.alias("para"), F.lit(0.9).cast("decimal(3,2)").alias("confidence"), F.lit(False).alias("needs_confirmation"))
     none = rows.select("doc_id", "style_id", F.col("effective").alias("chr")).limit(0)
     samples = rules.sample_formatting(rows.drop("effective"), rows.select("doc_id", F.col("path").alias("para_path"), F.lit("x").alias("text"), "effective"), none)
     return rules.emitted_rules(samples).select("doc_id", "rule_id", "expected")
@@ -504,7 +507,7 @@ def artifacts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = []
         for f in fields:
             name, kind_of = f.name, f.dataType.simpleString()
-            value = F.sha2(F.col("p_name"), 256) if name == "source_sha256" else F.concat((K % 7).cast("string"), F.lit("r")) if kind_of == "string" else F.lit(None) if kind_of.startswith("struct") else F.array(F.lit("a")) if kind_of.startswith("array") else F.lit("0.5") if kind_of.startswith("decimal") else F.lit(True) if kind_of == "boolean" else K
+            value = F.sha2(F.col("p_name"), 256) if name == "source_sha256" else F.concat((K() % 7).cast("string"), F.lit("r")) if kind_of == "string" else F.lit(None) if kind_of.startswith("struct") else F.array(F.lit("a")) if kind_of.startswith("array") else F.lit("0.5") if kind_of.startswith("decimal") else F.lit(True) if kind_of == "boolean" else K()
             made.append(value.cast(f.dataType).alias(name))
         path = stage_path(spark, f"artifact-{kind}")
         sinks.write_json(read(spark, sf_dir, "part").select(*made, F.col("p_size").alias("extra")), path)
