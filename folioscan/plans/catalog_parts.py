@@ -18,6 +18,7 @@ from folioscan.operators import gates, integrity, layout, locations, pages, plan
 from folioscan.operators import relational as R
 from folioscan.operators.locations import canonical_path, location
 from folioscan.sinks import artifacts as sinks
+from folioscan.sinks import packages
 from folioscan.sources import artifacts, docx, generate, png
 
 from . import classify_sql as Q
@@ -734,3 +735,58 @@ def approved_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = plan.filter("directive_id = 'd4'").select("doc_id", "directive_id")
     fixed = planning.approved_issues(plan, issues, planning.approvals(plan, chosen, True))
     return fixed.join(planning.plan_ids(plan, None, "prov", "m"), "doc_id").select("doc_id", "issue_id", "plan_id")
+
+
+_HEAD, _LEAD, _PLAIN = "main/section[0]/paragraph[0]/run[0]", "main/section[0]/paragraph[0]", "main/section[0]/paragraph[1]"
+
+
+@query("""SELECT doc_id, CAST(200 + doc_id % 3 * 20 AS BIGINT) AS size_tw, CASE WHEN doc_id % 2 = 0 THEN 'Justified' ELSE 'Center' END AS align, CAST(11000 + doc_id % 5 AS BIGINT) AS width_tw, CASE WHEN doc_id % 3 = 0 THEN 'New' ELSE 'Mark' END AS style_id,
+    doc_id % 3 = 0 AS made, CAST(CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failed FROM documents""")
+def package_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits written into packages, which are then read again: a size, an alignment, a page width, a style that may have to be made, and
+    a place that some documents lack."""
+    made = staged(generate.rich_packages(read(spark, sf_dir, "documents")), "rich")
+    d = F.col("doc_id")
+    rows = [
+        (F.lit("FontSize"), F.lit(_HEAD), F.format_string("twip:%d", 200 + d % 3 * 20)), (F.lit("ParagraphAlignment"), F.lit(_LEAD), F.when(d % 2 == 0, "alignment:Justified").otherwise("alignment:Center")),
+        (F.lit("PageWidth"), F.lit("main/section[1]"), F.format_string("twip:%d", 11000 + d % 5)), (F.lit("ParagraphStyleId"), F.lit(_PLAIN), F.when(d % 3 == 0, "text:New").otherwise("text:Mark")),
+        (F.lit("Bold"), F.when(d % 4 == 0, F.lit("main/section[0]/paragraph[7]/run[0]")).otherwise(_HEAD), F.lit("bool:True")),
+    ]
+    edits = made.select("doc_id", F.posexplode(F.array(*[F.struct(p.alias("property"), at.alias("place"), v.alias("expected")) for p, at, v in rows])).alias("ord", "e")).select("doc_id", "ord", F.format_string("e%d", "ord").alias("edit_id"), "e.*")
+    written = staged(packages.rewrite(made, edits, {"New": {"Bold": "True", "SpaceAfter": "60"}}), "written")
+    found = staged(docx.nodes(written), "nodes", by="kind")
+    run = docx.table(found, "run").filter(F.col("path") == _HEAD).select("doc_id", F.col("direct.size_tw").alias("size_tw"))
+    paragraph = docx.table(found, "paragraph")
+    lead = paragraph.filter(F.col("path") == _LEAD).select("doc_id", F.col("direct.align").alias("align"))
+    plain = paragraph.filter(F.col("path") == _PLAIN).select("doc_id", "style_id")
+    page = docx.table(found, "section").filter("section_ix = 1").select("doc_id", "width_tw")
+    new = docx.table(found, "style").filter("style_id = 'New' and chr.bold and para.after_tw = 60 and based_on = 'Normal'").select("doc_id", F.lit(True).alias("made"))
+    failed = written.select("doc_id", F.size(F.filter("log", lambda x: x["status"] == "Failed")).cast("bigint").alias("failed"))
+    return run.join(lead, "doc_id").join(plain, "doc_id").join(page, "doc_id").join(failed, "doc_id").join(new, "doc_id", "left").na.fill({"made": False})
+
+
+@query("""WITH d AS (SELECT doc_id, s FROM documents CROSS JOIN (VALUES (0), (1), (2)) AS t(s) WHERE doc_id % 6 <> 0)
+    SELECT doc_id, NULL AS section_ix, NULL AS columns, NULL AS gap_tw, NULL AS start, false AS ready FROM documents WHERE doc_id % 6 = 0 UNION ALL
+    SELECT doc_id, CAST(s AS INTEGER) AS section_ix, CAST(CASE WHEN s = 2 THEN 2 ELSE 1 END AS INTEGER) AS columns, CAST(CASE s WHEN 1 THEN 0 WHEN 2 THEN 360 END AS BIGINT) AS gap_tw, CASE WHEN s <> 1 THEN 'continuous' END AS start, true AS ready FROM d""")
+def package_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layout operations written into packages: a section break and, in the section behind it, two columns; none where one of a
+    document's operations has no target."""
+    from .engine import Documents, Engine
+
+    docs = read(spark, sf_dir, "documents")
+    head = [F.lit("Apply").alias("decision"), F.lit("Review").alias("level")]
+    cut = docs.select("doc_id", F.lit("z").alias("operation_id"), F.lit("InsertContinuousSectionBreak").alias("kind"), *head, F.lit("element:main/section[1]/paragraph[0]").alias("after_element_id"), *[F.lit(None).cast(t).alias(c) for c, t in (("section_ix", "int"), ("columns", "int"), ("gap_tw", "bigint"))], F.array().cast("array<string>").alias("depends_on"))
+    columns = docs.select("doc_id", F.lit("a"), F.lit("SetSectionColumns"), *head, F.lit(None).cast("string"), F.when(F.col("doc_id") % 6 == 0, 9).otherwise(2), F.lit(2), F.lit(360).cast("bigint"), F.array(F.lit("z")))
+    made = Engine(spark).layout_apply(Documents(staged(generate.rich_packages(docs), "rich")), cut.union(columns))
+    return made.gate.join(made.documents.sections, "doc_id", "left").select("doc_id", "section_ix", "columns", "gap_tw", "start", "ready")
+
+
+@query("""WITH t AS (SELECT printf('t%06d', c_custkey) AS template_id, min(CASE c_custkey % 3 WHEN 0 THEN 'disabled' WHEN 1 THEN 'superseded' ELSE 'validated' END) AS g FROM customer GROUP BY 1)
+    SELECT o_orderkey AS request, printf('t%06d', o_custkey + o_orderkey % 7 * 100000) AS template_id, CASE WHEN g IS NULL THEN 'not_found' WHEN g <> 'validated' THEN 'unavailable' ELSE 'resolved' END AS status
+    FROM orders LEFT JOIN t ON t.template_id = printf('t%06d', o_custkey + o_orderkey % 7 * 100000)""")
+def template_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for templates by their own ids."""
+    c = F.col("c_custkey")
+    known = read(spark, sf_dir, "customer").select(F.format_string("t%06d", c).alias("template_id"), pick(["disabled", "superseded", "validated"], c % 3).alias("status"))
+    asked = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request"), F.format_string("t%06d", F.col("o_custkey") + F.col("o_orderkey") % 7 * 100000).alias("template_id"))
+    return venues.select_templates(asked, known)
