@@ -7,7 +7,7 @@ import pytest
 from folioscan.plans import catalog
 
 
-@pytest.mark.parametrize("name", ["check_score"])
+@pytest.mark.parametrize("name", ["check_issues", "check_score"])
 def test_no_join_by_document_is_broadcast(spark, sf, name):
     plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join [doc_id" in plan
